@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import langid, licenses, mixing
 from .common import table
 
 
@@ -14,8 +14,20 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return took.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return named.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "known")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
 }
 
 #: DuckDB SQL, for the queries that SQL can express.
