@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, licenses, mixing
+from . import decontaminate, html, langid, licenses, mixing, neardup, pii, resample
 from .common import table
 
 
@@ -33,12 +33,30 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", "n_entities", F.array_join(F.array_sort(F.transform(F.map_entries("pii"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("types"))
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return resample.resample(docs.select("doc_id", "text"), labels).drop("text")
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_decontaminate": op5_decontaminate,
     "op6_html_main_text": op6_html_main_text,
+    "op7_pii_surrogates": op7_pii_surrogates,
+    "op8_importance_resampling": op8_importance_resampling,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 #: DuckDB SQL, for the queries that SQL can express.
@@ -56,4 +74,14 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
+    "op9_near_duplicates": r"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        o AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+        e AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        t AS (SELECT r AS a, r AS b FROM d UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+        m AS (SELECT t.a AS r, min(d.doc_id) AS component_id FROM t JOIN d ON d.r = t.b GROUP BY t.a)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+        FROM d JOIN m USING (r) LEFT JOIN n USING (r)""",
 }
