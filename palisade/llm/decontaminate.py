@@ -57,7 +57,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     parts = None
     for s in sizes:
         own = wins.filter(F.least("len", F.lit(shingle)) == s)
-        part = own.select("win", "len", F.posexplode(_shingles("words", s)).alias("offset", "hash")).filter("hash is not null").withColumn("s", F.lit(s))
+        part = own.select("win", "len", F.posexplode_outer(_shingles("words", s)).alias("offset", "hash")).filter("hash is not null").withColumn("s", F.lit(s))
         parts = part if parts is None else parts.unionByName(part)
     words = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), tokens(text_col).alias("words"))
     empty = docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)[id_col]}, key long, n_hit long, items array<string>")
@@ -67,7 +67,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     wanted = small(parts.select("hash", "s").distinct(), 2_000_000)
     found = None
     for s in sizes:
-        each = words.withColumn("n", F.size("words")).withColumn("hashes", _shingles("words", s)).select("doc_id", "key", "n", F.posexplode("hashes").alias("pos", "hash")).withColumn("s", F.lit(s))
+        # posexplode would have the optimizer put a filter on the array's size below it, with the words split anew for each of them
+        each = words.withColumn("n", F.size("words")).withColumn("hashes", _shingles("words", s)).select("doc_id", "key", "n", F.posexplode_outer("hashes").alias("pos", "hash"))
+        each = each.filter("hash is not null").withColumn("s", F.lit(s))
         each = each.join(wanted, ["hash", "s"], "left_semi")
         found = each if found is None else found.unionByName(each)
     found = cut(found.distinct())  # repeated rows once
