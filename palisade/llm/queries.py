@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, licenses, mixing, neardup, pii, resample
+from . import decontaminate, html, langid, licenses, media, mixing, neardup, pii, resample
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_language_id": op3_language_id,
@@ -57,6 +61,7 @@ QUERIES = {
     "op7_pii_surrogates": op7_pii_surrogates,
     "op8_importance_resampling": op8_importance_resampling,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_webp_media": op10_webp_media,
 }
 
 #: DuckDB SQL, for the queries that SQL can express.
