@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, licenses, media, mixing, neardup, pii, resample
+from . import decontaminate, html, langid, licenses, media, mixing, neardup, pii, resample, suffix
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return took.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     named = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
@@ -54,6 +59,7 @@ def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_license_scan": op4_license_scan,
     "op5_decontaminate": op5_decontaminate,
