@@ -1,13 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language, near duplicates, benchmark passages, personal data, mix of sources.
 
-from palisade.llm.common import table
+Each stage takes all rows that the one before kept, written as Parquet and read again.
+"""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palisade.llm import decontaminate, langid, mixing, neardup, pii
+from palisade.llm.common import cut, table
+
+#: Texts of whose n-grams their best language has less than this share are in no known language.
+LEAST_KNOWN = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter, null ones, and those in no learned language."""
+    named = langid.identify(docs, langid.train(docs))
+    return named.filter((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves one document of each group, the one with the smallest id."""
+    return neardup.dedup(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of whose words one in 20 or more stands in a benchmark window."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by surrogates; ``n_chars`` follows the text."""
+    done = pii.pseudonymize(docs)
+    size = F.when(F.col("n_entities") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", size).select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with their number of copies."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_passages", benchmark_passages),
+    ("personal_data", personal_data),
+    ("source_mix", source_mix),
+]
+
+#: SQL can express neither the language filter nor the keyed surrogates nor the drawn mix.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
