@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import catalog
 from .catalog import Pattern
@@ -17,7 +18,7 @@ from .regex import any_of, count, extract, java, matches, replace
 # Unicode
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Spark has no normal forms: Arrow batches; ASCII texts pass as they are."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
