@@ -405,10 +405,10 @@ y AS (SELECT * FROM x WHERE {_risky_sql('field', 'tool')}),
 c AS (SELECT doc_id, field, unnest(string_split(t, '')) AS c FROM y WHERE length(t) > 0), n AS (SELECT doc_id, field, c, count(*) AS n FROM c GROUP BY ALL),
 e AS (SELECT doc_id, field, sum(-(n / total) * log2(n / total)) AS entropy FROM (SELECT doc_id, field, n, sum(n) OVER (PARTITION BY doc_id, field) AS total FROM n) GROUP BY ALL),
 z AS (SELECT doc_id, field, length(t) >= 3 AND {_keywords('t')} AS scan, t, CASE WHEN length(t) >= 50 AND entropy > 4.5 THEN 1 ELSE 0 END + CASE WHEN length(t) >= 3 AND {_NESTED} THEN 1 ELSE 0 END AS flags FROM y LEFT JOIN e USING (doc_id, field)),
-v AS (SELECT doc_id, flags, CASE WHEN scan THEN {_sums('t', 'high')} ELSE 0 END AS high, CASE WHEN scan THEN {_sums('t', 'medium')} ELSE 0 END AS medium, CASE WHEN scan THEN {_sums('t', 'low')} ELSE 0 END AS low FROM z),
-w AS (SELECT doc_id, high + medium + low AS hits, {_risk('high', 'medium', 'flags')} AS risk FROM v),
-a AS (SELECT doc_id, count(*) AS fields_total, count_if(hits > 0 AND risk >= 2) AS high_count, count_if(hits > 0 AND risk = 1) AS medium_count, CAST(sum(hits) AS BIGINT) AS pattern_count FROM w GROUP BY doc_id),
-b AS (SELECT doc_id AS payload_id, coalesce(fields_total, 0) AS fields_total, coalesce(high_count, 0) AS high_count, coalesce(medium_count, 0) AS medium_count, coalesce(pattern_count, 0) AS pattern_count FROM p LEFT JOIN a USING (doc_id)),
+v AS (SELECT doc_id, flags, {_has_role('t')} OR {_sums('t', 'high')} > 0 AS threat, CASE WHEN scan THEN {_sums('t', 'high')} ELSE 0 END AS high, CASE WHEN scan THEN {_sums('t', 'medium')} ELSE 0 END AS medium, CASE WHEN scan THEN {_sums('t', 'low')} ELSE 0 END AS low FROM z),
+w AS (SELECT doc_id, threat, high + medium + low AS hits, {_risk('high', 'medium', 'flags')} AS risk FROM v),
+a AS (SELECT doc_id, count(*) AS fields_total, count_if(hits > 0 AND risk >= 2) AS high_count, count_if(hits > 0 AND risk = 1) AS medium_count, CAST(sum(hits) AS BIGINT) AS pattern_count, bool_or(threat) AS threat FROM w GROUP BY doc_id),
+b AS (SELECT doc_id AS payload_id, coalesce(fields_total, 0) AS fields_total, coalesce(high_count, 0) AS high_count, coalesce(medium_count, 0) AS medium_count, coalesce(pattern_count, 0) AS pattern_count, coalesce(threat, false) AS threat FROM p LEFT JOIN a USING (doc_id)),
 o AS (SELECT *, high_count >= 1 OR (medium_count >= 3 AND medium_count / greatest(fields_total, 1) >= 0.25) OR (pattern_count >= 3 AND pattern_count / greatest(fields_total, 1) >= 0.25) AS escalated FROM b)"""
 
 
@@ -424,7 +424,7 @@ def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("payload_id", "tool_name", "allowed", "risk_level", "sanitized", F.array_join("detections", "|").alias("detections"), F.array_join("fields_sanitized", "|").alias("fields_sanitized"), "tier2_score", "tier2_skip_reason", "max_sentence")
 
 
-@_query("block_mode", f"WITH {_SPLICED}, {_FIELDS} SELECT payload_id, risk_level, allowed FROM (SELECT payload_id, CASE WHEN escalated THEN 'high' ELSE 'medium' END AS risk_level, NOT escalated AS allowed FROM o)")
+@_query("block_mode", f"WITH {_SPLICED}, {_FIELDS} SELECT payload_id, risk_level, allowed FROM (SELECT payload_id, CASE WHEN escalated THEN 'high' ELSE 'medium' END AS risk_level, NOT escalated OR (high_count = 0 AND NOT threat) AS allowed FROM o)")
 def block_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defend(documents_as_payloads(spark, sf_dir), Config(boundary_salt="query", block_high_risk=True)).select("payload_id", "risk_level", "allowed")
 
