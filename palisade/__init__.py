@@ -1,0 +1,10 @@
+"""A PySpark engine that defends against hostile content in payloads and texts."""
+
+from .api import Defense, create_defense
+from .config import Config, create_config
+from .functions.catalog import PATTERNS, Pattern, by_category, by_severity
+from .operators.sfe import DropDecision, Predictor, filter_value
+from .operators.tier2 import Scorer, onnx_scorer
+from .plans.defense import defend
+
+__all__ = ["PATTERNS", "Config", "Defense", "DropDecision", "Pattern", "Predictor", "Scorer", "by_category", "by_severity", "create_config", "create_defense", "defend", "filter_value", "onnx_scorer"]
