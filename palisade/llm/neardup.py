@@ -131,20 +131,19 @@ def stars(edges: DataFrame) -> DataFrame:
     are gathered. Edges are written to the shared folder after each round.
     """
     state = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    mark = None
     while True:
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
+        # Done when all are stars: one edge from each node, and none from a centre.
+        many = state.groupBy("u").count().filter("count > 1").select("u")
+        inner = state.select(F.col("v").alias("u")).distinct().join(state.select(F.col("u").alias("w")), F.col("u") == F.col("w")).select("u")
+        if many.unionByName(inner).isEmpty():
             break
-        mark = now
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, both.u == least.w).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = cut(large)
+        large = both.join(least, both.u == least.w).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))  # v < u in every edge
         joined = large.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
         state = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    return state.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return cut(state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -178,9 +177,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     five words (all words if fewer). Documents with equal sets are one class, so copies cost no pairs.
     Classes that share a band of their signature are candidates. Each class is first paired with its
     band's class of the smallest id, not with all others; candidates are verified by signatures, then
-    confirmed on the full sets, best candidate first and the rest only while they would join two
-    components. Then all bands that still hold several components have their classes compared across
-    components, so that no link is lost to the choice of the centre. Components come from
+    confirmed on the full sets, the best one of each class first. The others follow only if they would
+    join two components; so do, in all bands that still hold several components, the pairs of classes
+    from different ones, so that no link is lost to the choice of the centre. Components come from
     alternating large-star and small-star; ``component_id`` is the smallest id in the component.
 
     Null and empty texts, and texts without words, have no shingles and are alone. Repeated rows, and
@@ -189,36 +188,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     signed = cut(sign(docs, id_col, text_col))
     first = F.min(F.struct("doc_id", "key"))
-    classes = cut(signed.filter("node is not null").groupBy("node").agg(first.alias("first"), F.min("doc_id").alias("least"), F.first("sig").alias("sig")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("rep_key"), "least", "sig"))
+    classes = cut(signed.filter("node is not null").groupBy("node").agg(first.alias("first"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("n").alias("n")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("rep_key"), "least", "sig", "n"))
     bands = classes.select(F.coalesce(F.col("least").cast("long"), F.xxhash64("least")).alias("rep"), "node", "sig").mapInArrow(_band_rows, "band long, rep long, node long")
     centres = bands.groupBy("band").agg(F.min(F.struct("rep", "node")).alias("centre"), F.count("*").alias("size")).filter("size > 1").select(F.col("band").alias("c_band"), F.col("centre.node").alias("centre"), "size")
     # Only bands that several classes share go on.
     shared = cut(bands.join(centres, F.col("band") == F.col("c_band")).select("band", "node", "centre", "size"))
     star = shared.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     left = _verified(star, classes)
-    links, roots = None, None
-    for turn in range(4):
-        if left.isEmpty():
-            break
-        now = left
-        if turn < 3:  # best first: what it links need not be confirmed again
-            best = left.groupBy("b").agg(F.max(F.struct("like", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-            now = cut(best)
-        met = _confirmed(docs, now.select("a", "b"), classes, id_col, text_col)
-        links = met if links is None else links.unionByName(met)
-        roots = cut(stars(links))
-        left = cut(_across(left.join(now.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), roots))
-    more = _cross_pairs(shared, roots)
-    more = _verified(more.join(star.select(F.col("a").alias("x"), F.col("b").alias("y")), ((F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))), "left_anti"), classes)
-    if not more.isEmpty():
-        met = _confirmed(docs, more.select("a", "b"), classes, id_col, text_col)
-        links = met if links is None else links.unionByName(met)
-        roots = cut(stars(links))
+    # Best candidate of each class first: what it links need not be confirmed again.
+    best = cut(left.groupBy("b").agg(F.max(F.struct("like", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
+    links = _confirmed(docs, best, classes, id_col, text_col)
+    roots = stars(links)
+    tried = lambda pairs, of: pairs.join(of.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    more = tried(_cross_pairs(docs, shared, roots, classes, id_col, text_col), star)
+    rest = cut(_across(tried(left.select("a", "b"), best), roots).unionByName(_verified(more, classes).select("a", "b")).distinct())
+    if not rest.isEmpty():
+        roots = stars(links.unionByName(_confirmed(docs, rest, classes, id_col, text_col)))
     nodes = classes.select("node", "least")
-    if roots is not None:
-        nodes = nodes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    else:
-        nodes = nodes.withColumn("root", F.col("node"))
+    nodes = nodes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.select(F.col("node").alias("m_node"), "root").join(ids, "root").select("m_node", "root", "component_id")
     rows = signed.select("doc_id", "key", F.col("n").alias("n_shingles"), "node").join(named, F.col("node") == F.col("m_node"), "left")
@@ -232,17 +219,38 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
 
-def _cross_pairs(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs of classes that share a band but no component, for bands of three classes or more (a band of two is its star)."""
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in portions(batches, "text", 1 << 20):
+        sets = shingle_sets(batch.column(1))
+        take = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(sets).view(np.int64))], ["t_node", "shingle"])
+
+
+def _cross_pairs(docs: DataFrame, shared: DataFrame, roots: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs of classes that share a band but no component, for bands of three classes or more (a band of two is its star).
+
+    A shingle that only one component has is in no intersection across components. So of each class
+    in a mixed band its shingles that others have are counted; two classes can be linked only if both
+    counts reach the intersection that their sizes need. That bound is exact, and it spares a large
+    family of copies that were edited too much to be linked from being compared pair by pair.
+    """
     rows = shared.filter("size > 2").select("band", "node")
-    if roots is None:
-        rows = rows.withColumn("root", F.col("node"))
-    else:
-        rows = rows.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    rows = rows.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
     rows = cut(rows.join(mixed, "band"))
-    other = rows.select(F.col("band").alias("band2"), F.col("node").alias("b"), F.col("root").alias("root2"))
-    return rows.join(other, (F.col("band") == F.col("band2")) & (F.col("root") != F.col("root2")) & (F.col("node") < F.col("b"))).select(F.col("node").alias("a"), "b").distinct()
+    involved = rows.select("node", "root").distinct()
+    wanted = cut(classes.select("rep", "rep_key", "node").join(involved.select(F.col("node").alias("x")), F.col("node") == F.col("x"), "left_semi"))
+    shingles = _texts(docs, wanted, id_col, text_col).mapInArrow(_shingle_rows, "t_node long, shingle long")
+    placed = cut(shingles.join(involved, F.col("t_node") == F.col("node")).select("node", "root", "shingle"))
+    common = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(F.col("shingle").alias("c"))
+    reach = placed.join(common, F.col("shingle") == F.col("c"), "left_semi").groupBy("node").agg(F.countDistinct("shingle").alias("reach"))
+    reach = reach.join(classes.select(F.col("node").alias("x"), "n"), F.col("node") == F.col("x")).filter(100 * F.col("reach") >= PERCENT * F.col("n")).select(F.col("node").alias("x"), "n", "reach")
+    rows = cut(rows.join(reach, F.col("node") == F.col("x")).drop("x"))
+    other = rows.select(F.col("band").alias("band2"), F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("reach").alias("reach2"))
+    # 100 * both >= PERCENT * (n + n2 - both)
+    enough = (100 + PERCENT) * F.least("reach", "reach2") >= PERCENT * (F.col("n") + F.col("n2"))
+    pairs = rows.join(other, (F.col("band") == F.col("band2")) & (F.col("root") != F.col("root2")) & (F.col("node") < F.col("b")) & enough)
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
