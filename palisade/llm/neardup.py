@@ -199,11 +199,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     best = cut(left.groupBy("b").agg(F.max(F.struct("like", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
     links = _confirmed(docs, best, classes, id_col, text_col)
     roots = stars(links)
-    tried = lambda pairs, of: pairs.join(of.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    more = tried(_cross_pairs(docs, shared, roots, classes, id_col, text_col), star)
-    rest = cut(_across(tried(left.select("a", "b"), best), roots).unionByName(_verified(more, classes).select("a", "b")).distinct())
-    if not rest.isEmpty():
-        roots = stars(links.unionByName(_confirmed(docs, rest, classes, id_col, text_col)))
+    placed = _placed(docs, shared, roots, classes, id_col, text_col)
+    # The class of a band that has the most of what others have, too, is the best second centre.
+    rows = _reaching(shared, placed, roots, classes)
+    second = rows.groupBy("band").agg(F.max(F.struct(F.col("reach") / F.col("n"), "node", "root", "reach", "n")).alias("c"))
+    near = rows.join(second.select(F.col("band").alias("band2"), "c"), F.col("band") == F.col("band2")).filter((F.col("root") != F.col("c.root")) & _enough("reach", "n", "c.reach", "c.n"))
+    near = near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    rest = _across(left.select("a", "b").join(best.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), roots)
+    links = cut(links.unionByName(_confirmed(docs, cut(rest.unionByName(_verified(near, classes).select("a", "b")).distinct()), classes, id_col, text_col)))
+    roots = stars(links)
+    more = _cross_pairs(_reaching(shared, placed, roots, classes))
+    more = _verified(more, classes).select("a", "b")
+    if not more.isEmpty():
+        roots = stars(links.unionByName(_confirmed(docs, more, classes, id_col, text_col)))
     nodes = classes.select("node", "least")
     nodes = nodes.join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -226,30 +234,46 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(np.concatenate(sets).view(np.int64))], ["t_node", "shingle"])
 
 
-def _cross_pairs(docs: DataFrame, shared: DataFrame, roots: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Pairs of classes that share a band but no component, for bands of three classes or more (a band of two is its star).
-
-    A shingle that only one component has is in no intersection across components. So of each class
-    in a mixed band its shingles that others have are counted; two classes can be linked only if both
-    counts reach the intersection that their sizes need. That bound is exact, and it spares a large
-    family of copies that were edited too much to be linked from being compared pair by pair.
-    """
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band, node, root`` of the bands of three classes or more (a band of two is its star) that hold several components."""
     rows = shared.filter("size > 2").select("band", "node")
     rows = rows.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    rows = cut(rows.join(mixed, "band"))
-    involved = rows.select("node", "root").distinct()
-    wanted = cut(classes.select("rep", "rep_key", "node").join(involved.select(F.col("node").alias("x")), F.col("node") == F.col("x"), "left_semi"))
-    shingles = _texts(docs, wanted, id_col, text_col).mapInArrow(_shingle_rows, "t_node long, shingle long")
-    placed = cut(shingles.join(involved, F.col("t_node") == F.col("node")).select("node", "root", "shingle"))
-    common = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(F.col("shingle").alias("c"))
-    reach = placed.join(common, F.col("shingle") == F.col("c"), "left_semi").groupBy("node").agg(F.countDistinct("shingle").alias("reach"))
+    return rows.join(mixed, "band")
+
+
+def _placed(docs: DataFrame, shared: DataFrame, roots: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``t_node, shingle`` of the classes in mixed bands."""
+    involved = _mixed(shared, roots).select(F.col("node").alias("x")).distinct()
+    wanted = cut(classes.select("rep", "rep_key", "node").join(involved, F.col("node") == F.col("x"), "left_semi"))
+    return cut(_texts(docs, wanted, id_col, text_col).mapInArrow(_shingle_rows, "t_node long, shingle long").distinct())
+
+
+def _reaching(shared: DataFrame, placed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """``band, node, root, n, reach`` of the classes in mixed bands that can be linked across components.
+
+    A shingle that only one component has is in no intersection across components; ``reach`` counts a
+    class's shingles that others have. Less than ``PERCENT`` of its own and it can't be linked. The bound is
+    exact, and it spares a large family of copies that were edited too much to be linked from
+    being compared pair by pair.
+    """
+    rows = cut(_mixed(shared, roots))
+    own = placed.join(rows.select("node", "root").distinct(), F.col("t_node") == F.col("node")).select("node", "root", "shingle")
+    common = own.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(F.col("shingle").alias("c"))
+    reach = own.join(common, F.col("shingle") == F.col("c"), "left_semi").groupBy("node").agg(F.count("*").alias("reach"))
     reach = reach.join(classes.select(F.col("node").alias("x"), "n"), F.col("node") == F.col("x")).filter(100 * F.col("reach") >= PERCENT * F.col("n")).select(F.col("node").alias("x"), "n", "reach")
-    rows = cut(rows.join(reach, F.col("node") == F.col("x")).drop("x"))
+    return cut(rows.join(reach, F.col("node") == F.col("x")).drop("x"))
+
+
+def _enough(reach: str, n: str, reach2: str, n2: str):
+    """Whether the intersection that the sizes need is within reach: 100 * both >= PERCENT * (n + n2 - both)."""
+    return (100 + PERCENT) * F.least(reach, reach2) >= PERCENT * (F.col(n) + F.col(n2))
+
+
+def _cross_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of classes that share a band but no component and can be linked."""
     other = rows.select(F.col("band").alias("band2"), F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("reach").alias("reach2"))
-    # 100 * both >= PERCENT * (n + n2 - both)
-    enough = (100 + PERCENT) * F.least("reach", "reach2") >= PERCENT * (F.col("n") + F.col("n2"))
-    pairs = rows.join(other, (F.col("band") == F.col("band2")) & (F.col("root") != F.col("root2")) & (F.col("node") < F.col("b")) & enough)
+    pairs = rows.join(other, (F.col("band") == F.col("band2")) & (F.col("root") != F.col("root2")) & (F.col("node") < F.col("b")) & _enough("reach", "n", "reach2", "n2"))
     return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
