@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import catalog, encoding
 from .detect import name_of
-from .regex import let, literal_array
+from .regex import let
 from .text import contains_role_markers, fold_lookalikes, nfkc, normalize, remove_patterns, strip_role_markers, suspicious_unicode, wrap
 
 BLOCKED = "[CONTENT BLOCKED FOR SECURITY]"
@@ -86,28 +86,25 @@ def sanitize(text: Column, risk: Column | str, boundary: Column | None = None, m
     risk = F.lit(risk) if isinstance(risk, str) else risk
     if not methods:
         return sanitize_normalized(text, fold_lookalikes(nfkc(F.coalesce(text, F.lit("")))), risk, boundary, **options)
-    out, none = F.coalesce(text, F.lit("")), F.array().cast(_NONE)
-    removed, listed = none, []
-    for method in methods:
-        if method == METHODS[1] and boundary is None:
-            continue
-        if method == METHODS[0]:
-            out = normalize(out)
-        elif method == METHODS[1]:
-            out = wrap(out, boundary)
-        elif method == METHODS[2]:
-            out = strip_role_markers(out)
-        elif method == METHODS[3]:
-            done = remove_patterns(out)
-            out, removed = done["text"], F.concat(removed, done["patterns_removed"])
-        elif method == METHODS[4]:
-            out = encoding.redact_all(out)
-        else:
-            raise ValueError(method)
-        listed.append(method)
-    empty = _result(F.lit(""), none, none, risk)
-    blocked = _result(F.lit(BLOCKED), none, none, risk)
-    return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, empty).when(risk == "critical", blocked).otherwise(_result(out, literal_array(listed), removed, risk))
+    raw, none = F.coalesce(text, F.lit("")), F.array().cast(_NONE)
+    state_of = lambda t, m, ids: F.array(F.struct(t.alias("t"), m.alias("m"), ids.alias("ids")))
+    always = F.lit(True)
+    runs = {
+        METHODS[1]: lambda t: _fired(wrap(t, boundary), always),
+        METHODS[2]: lambda t: _fired(strip_role_markers(t), always),
+        METHODS[3]: lambda t: let(remove_patterns(t), lambda done: _fired(done["text"], always, done["patterns_removed"])),
+        METHODS[4]: lambda t: let(encoding.detections(t), lambda found: _fired(encoding.rewrite(t, found), always)),
+    }
+    state = state_of(raw, none, none)
+    for i, method in enumerate(methods):
+        if method == METHODS[0]:  # a UDF, which can't stand inside the stages
+            now = F.get(state, F.lit(0))
+            state = state_of(normalize(raw if i == 0 else now["t"]), F.array_append(none if i == 0 else now["m"], F.lit(method)), none if i == 0 else now["ids"])
+        elif method != METHODS[1] or boundary is not None:
+            state = _step(state, always, runs[method], method)
+    done = F.get(F.transform(state, lambda x: _result(x["t"], x["m"], x["ids"], risk)), F.lit(0))
+    blocked, empty = _result(F.lit(BLOCKED), none, none, risk), _result(F.lit(""), none, none, risk)
+    return F.when(F.length(raw) == 0, empty).when(risk == "critical", blocked).otherwise(done)
 
 
 def sanitize_light(text: Column, **options) -> Column:
