@@ -39,8 +39,9 @@ _SYLLABLES = {
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][\w'’-]*[^\W\d_]"
 _TITLE = "|".join(sorted((t for g in _TITLES.values() for t in g.split()), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_LOCAL = r"[A-Za-z0-9_](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?"
 _PATTERNS = {
-    "email": r"[A-Za-z0-9_](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": _LOCAL + r"@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)(?![A-Za-z0-9])",
     "assigned": r"(?i:(?:token|secret|passw(?:or)?d|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth|bearer)[\"']?\s*[:=]+\s*[\"']?)(?P<assigned_value>[A-Za-z0-9+/_.~-]{8,}=*)",
     "hex": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
@@ -53,6 +54,8 @@ _PATTERNS = {
     "person": rf"(?<!\w)(?P<title>{_TITLE})(?P<gap>\.? )(?P<names>{_NAME}(?: {_NAME}){{0,2}})",
 }
 _COMPILED = {kind: re.compile(pattern) for kind, pattern in _PATTERNS.items()}
+#: What of a text up to an @ can be an address's local part, of 64 characters at most.
+_BEFORE_AT = re.compile(_LOCAL + r"\Z")
 #: Where numbers can stand; the patterns of numbers look there only.
 _NUMBERS = re.compile(r"[0-9+(][0-9()+ .-]{6,}")
 _OF_NUMBERS = ("ip", "ssn", "phone", "card")
@@ -74,9 +77,12 @@ def find(text: str) -> list[Entity]:
 
     at, reached = text.find("@"), 0
     while at >= 0:
-        if at >= reached:
-            look("email", max(reached, at - 65), min(len(text), at + 256))
-            reached = max([at + 1, *(s[2] for s in spans[-1:])])
+        # Each @ by itself: only the start is bounded, the domain runs on in the whole text.
+        local = _BEFORE_AT.search(text, max(reached, at - 64), at)
+        m = local and _COMPILED["email"].match(text, local.start())
+        if m:
+            spans.append((m.start(), list(_PATTERNS).index("email"), m.end(), "email", m))
+            reached = m.end()
         at = text.find("@", at + 1)
     for m in _NUMBERS.finditer(text):
         for kind in _OF_NUMBERS:

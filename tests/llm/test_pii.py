@@ -124,3 +124,13 @@ def test_hint_passes_every_branch(spark):
     df = spark.createDataFrame(list(enumerate(BRANCHES)), "doc_id long, text string")
     got = {r.doc_id: r for r in pii.pseudonymize(df, KEY).collect()}
     assert [t for i, t in enumerate(BRANCHES) if got[i].n_entities == 0 or got[i].text == t] == []
+
+
+def test_emails_in_a_row():
+    """As a scan of the whole text finds them, wherever an address stands after the one before."""
+    rng = random.Random(4)
+    for _ in range(300):
+        parts = [f"{rng.choice('uvwxyz') * rng.randint(1, 70)}@{rng.choice(['example.com', 'mail.example.co.uk', 'x', '-a.b', 'y' * 300 + '.org'])}" for _ in range(30)]
+        text = "".join(p + rng.choice([" ", ", ", "", "."]) for p in parts)
+        expect = [(m.start(), m.end(), "email", m[0]) for m in pii._COMPILED["email"].finditer(text)]
+        assert [e for e in pii.find(text) if e[2] == "email"] == expect
