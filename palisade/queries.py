@@ -23,6 +23,8 @@ from .snippets import SNIPPETS
 K = len(SNIPPETS)
 TOOLS = ("gmail_get_message", "documents_get", "github_get_pr", "hris_get_employee", "ats_get_candidate", "crm_get_account", "test_tool")
 Query = Callable[[SparkSession, str], DataFrame]
+#: The queries read whole texts; the operators' own default stays at 50,000 characters.
+WHOLE = detect.Detector(max_analysis_length=2**31 - 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,13 +183,13 @@ _RISKS = f"""r AS (SELECT doc_id, CASE WHEN scan THEN {_sums('t', 'high')} ELSE
 
 @_query("tier1_risk", f"WITH {_SPLICED}, {_ENTROPIES}, {_GATED}, {_FLAGGED}, {_RISKS} SELECT doc_id, CAST(high AS BIGINT) AS high, CAST(medium AS BIGINT) AS medium, CAST(low AS BIGINT) AS low, {_NAME.format('(' + _risk('high', 'medium', 'medium_flags') + ')')} AS risk FROM r JOIN f USING (doc_id)")
 def tier1_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spliced(spark, sf_dir).select("doc_id", detect.counts(F.col("t")).alias("c"))
+    found = spliced(spark, sf_dir).select("doc_id", detect.counts(F.col("t"), WHOLE).alias("c"))
     return found.select("doc_id", *(F.col(f"c.{s}").cast("long").alias(s) for s in ("high", "medium", "low")), detect.name_of(F.col("c.rank")).alias("risk"))
 
 
 @_query("analyze_matches")
 def analyze_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spliced(spark, sf_dir).select("doc_id", detect.analyze(F.col("t")).alias("a"))
+    found = spliced(spark, sf_dir).select("doc_id", detect.analyze(F.col("t"), WHOLE).alias("a"))
     return found.select("doc_id", "a.has_detections", "a.suggested_risk", F.explode_outer("a.matches").alias("m")).select("doc_id", "has_detections", "suggested_risk", "m.*")
 
 
@@ -412,25 +414,25 @@ o AS (SELECT *, high_count >= 1 OR (medium_count >= 3 AND medium_count / greates
 
 @_query("cumulative_risk", f"WITH {_SPLICED}, {_FIELDS} SELECT payload_id, fields_total, high_count, medium_count, pattern_count, escalated, CASE WHEN escalated THEN 'high' ELSE 'medium' END AS risk_level FROM o")
 def cumulative_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tier1(documents_as_payloads(spark, sf_dir), Config())
+    found = tier1(documents_as_payloads(spark, sf_dir), Config(detector=WHOLE))
     return found.select("payload_id", *(F.col(c).cast("long").alias(c) for c in ("fields_total", "high_count", "medium_count", "pattern_count")), "escalated", detect.name_of(F.col("tier1_rank")).alias("risk_level"))
 
 
 @_query("verdict")
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = defend(documents_as_payloads(spark, sf_dir), Config(boundary_salt="query"), scorer=tier2.WordScorer)
+    done = defend(documents_as_payloads(spark, sf_dir), Config(boundary_salt="query", detector=WHOLE), scorer=tier2.WordScorer)
     return done.select("payload_id", "tool_name", "allowed", "risk_level", "sanitized", F.array_join("detections", "|").alias("detections"), F.array_join("fields_sanitized", "|").alias("fields_sanitized"), "tier2_score", "tier2_skip_reason", "max_sentence")
 
 
 @_query("block_mode", f"WITH {_SPLICED}, {_FIELDS} SELECT payload_id, risk_level, allowed FROM (SELECT payload_id, CASE WHEN escalated THEN 'high' ELSE 'medium' END AS risk_level, NOT escalated OR (high_count = 0 AND NOT threat) AS allowed FROM o)")
 def block_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return defend(documents_as_payloads(spark, sf_dir), Config(boundary_salt="query", block_high_risk=True)).select("payload_id", "risk_level", "allowed")
+    return defend(documents_as_payloads(spark, sf_dir), Config(boundary_salt="query", detector=WHOLE, block_high_risk=True)).select("payload_id", "risk_level", "allowed")
 
 
 @_query("conversation_turns_as_payloads")
 def conversation_turns_as_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("payload_id"), F.lit("chat").alias("tool_name"), F.to_json(F.struct(F.concat("role", F.lit(": "), "text").alias("message"))).alias("payload"))
-    return defend(rows, Config(boundary_salt="query")).select("payload_id", "risk_level", F.array_join("fields_sanitized", "|").alias("fields_sanitized"), F.col("size_metrics.string_count").alias("strings"))
+    return defend(rows, Config(boundary_salt="query", detector=WHOLE)).select("payload_id", "risk_level", F.array_join("fields_sanitized", "|").alias("fields_sanitized"), F.col("size_metrics.string_count").alias("strings"))
 
 
 @_query("sentences")

@@ -69,3 +69,32 @@ def test_risk_of_hidden_instructions(spark, small):
     at, rows = small
     risk = dict(map(tuple, queries.QUERIES["suggest_risk_level"](spark, at).collect()))
     assert [i for i, t in rows.items() if HIDDEN in t and risk[i] == "low"] == []
+
+
+LONG = 60_000
+
+
+@pytest.fixture(scope="module")
+def long(spark, tmp_path_factory):
+    """Texts of so many characters without a pattern; those of snippets that go behind them carry theirs beyond the defaults' cuts."""
+    at = tmp_path_factory.mktemp("long")
+    ids = [s[0] for s in queries.SNIPPETS if s[2] == "S"]
+    short = {s[0]: s[3] for s in queries.SNIPPETS}
+    spark.createDataFrame([(i, "word. " * (LONG // 6)) for i in ids], "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return str(at), {i: short[i] for i in ids}
+
+
+def test_tier1_sees_the_end_of_long_texts(spark, long):
+    at, snippets = long
+    from palisade.functions import detect
+
+    t = lambda s: ". " * 20 + "word. " + s
+    df = spark.createDataFrame([(i, t(s)) for i, s in snippets.items()], "i long, t string")
+    c = {r.i: r.c for r in df.select("i", detect.counts(queries.F.col("t")).alias("c")).collect()}
+    got = {r.doc_id: (r.high, r.medium, r.low) for r in queries.tier1_risk(spark, at).collect()}
+    assert got == {i: (c[i].high, c[i].medium, c[i].low) for i in snippets} and any(sum(x) for x in got.values())
+    found = {r.doc_id for r in queries.analyze_matches(spark, at).collect() if r.position is not None and r.position >= 50_000}
+    assert found == {i for i in snippets if c[i].ids}
+    fields = {r.payload_id: r.pattern_count for r in queries.cumulative_risk(spark, at).collect()}
+    risky = {i for i in snippets if fields[i] and c[i].ids}
+    assert risky and all(fields[i] >= 2 * len(c[i].ids) for i in risky if queries.TOOLS[i % 7] in ("gmail_get_message",))
