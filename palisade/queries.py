@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import DATA_KEYS, PAGE_KEYS, Config
+from .config import DATA_KEYS, PAGE_KEYS, Config, Tier2
 from .functions import catalog, detect, encoding, text
 from .functions.regex import literal_array, positions
 from .functions.sanitize import sanitize, suggest_risk
@@ -23,8 +23,9 @@ from .snippets import SNIPPETS
 K = len(SNIPPETS)
 TOOLS = ("gmail_get_message", "documents_get", "github_get_pr", "hris_get_employee", "ats_get_candidate", "crm_get_account", "test_tool")
 Query = Callable[[SparkSession, str], DataFrame]
-#: The queries read whole texts; the operators' own default stays at 50,000 characters.
+#: The queries read whole texts; the operators' own defaults stay at 50,000 characters, and 10,000 in tier 2.
 WHOLE = detect.Detector(max_analysis_length=2**31 - 1)
+WHOLE2 = Tier2(max_text_length=2**31 - 1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -420,7 +421,7 @@ def cumulative_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("verdict")
 def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = defend(documents_as_payloads(spark, sf_dir), Config(boundary_salt="query", detector=WHOLE), scorer=tier2.WordScorer)
+    done = defend(documents_as_payloads(spark, sf_dir), Config(boundary_salt="query", detector=WHOLE, tier2=WHOLE2), scorer=tier2.WordScorer)
     return done.select("payload_id", "tool_name", "allowed", "risk_level", "sanitized", F.array_join("detections", "|").alias("detections"), F.array_join("fields_sanitized", "|").alias("fields_sanitized"), "tier2_score", "tier2_skip_reason", "max_sentence")
 
 
@@ -442,7 +443,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("chunk_scores")
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = tier2.classify(spliced(spark, sf_dir).select("doc_id", "t"), tier2.WordScorer, "t", "chunks")
+    done = tier2.classify(spliced(spark, sf_dir).select("doc_id", "t"), tier2.WordScorer, "t", "chunks", WHOLE2)
     return done.select("doc_id", "tier2.score", "tier2.skipped", "tier2.skip_reason", F.size("tier2.sentence_scores").alias("chunks"))
 
 
@@ -451,7 +452,7 @@ _WORD_SCORE = "least(1.0, len(regexp_extract_all({}, 'ignore|system|instructions
 
 @_query("tier2_scores", f"WITH {_SPLICED} SELECT doc_id, CASE WHEN length(t) < 10 THEN 0.0 ELSE {_WORD_SCORE.format('substring(t, 1, 10000)')} END AS score, length(t) < 10 AS skipped FROM d")
 def tier2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = tier2.classify(spliced(spark, sf_dir).select("doc_id", "t"), tier2.WordScorer, "t", "whole")
+    done = tier2.classify(spliced(spark, sf_dir).select("doc_id", "t"), tier2.WordScorer, "t", "whole", WHOLE2)
     return done.select("doc_id", "tier2.score", "tier2.skipped")
 
 

@@ -98,3 +98,13 @@ def test_tier1_sees_the_end_of_long_texts(spark, long):
     fields = {r.payload_id: r.pattern_count for r in queries.cumulative_risk(spark, at).collect()}
     risky = {i for i in snippets if fields[i] and c[i].ids}
     assert risky and all(fields[i] >= 2 * len(c[i].ids) for i in risky if queries.TOOLS[i % 7] in ("gmail_get_message",))
+
+
+def test_tier2_sees_the_end_of_long_texts(spark, long):
+    at, snippets = long
+    words = {i: len(re.findall("(?i)ignore|system|instructions?|bypass", s)) for i, s in snippets.items()}
+    warned = {i for i, n in words.items() if n}
+    whole = {r.doc_id: r.score for r in queries.tier2_scores(spark, at).collect()}
+    assert whole == {i: min(1.0, n / 4) for i, n in words.items()} and warned
+    assert {r.doc_id for r in queries.chunk_scores(spark, at).collect() if r.score > 0} == warned
+    assert warned <= {r.payload_id for r in queries.verdict(spark, at).collect() if r.tier2_score}
