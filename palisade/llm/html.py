@@ -27,15 +27,21 @@ _DROPPED = frozenset("nav footer aside form script style noscript template ifram
 _ROLES = frozenset("navigation banner complementary contentinfo search alert dialog menu menubar form".split())
 #: Words in a class or id that mark what isn't the article.
 _SIDE = re.compile(r"(?i)(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|header|masthead|footer|side-?bar|aside|ads?|advert(?:s|isement)?s?|banner|promo(?:tion)?s?|sponsor(?:ed)?|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|comments?|replies|reply|respond|disqus|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|newsletter|subscribe|signup|login|search|widget|toolbar|skip-?link|copyright)(?:$|[\s_-])")
+#: Words in a class that say how a container is laid out, or that it heads the text: none marks what isn't the article.
+_LAYOUT = re.compile(r"(?i)(?<!\S)(?:(?:has|with|without|no|hide|show)[-_]\S*|(?:post|entry|article|content|story|section)[-_]+header)(?!\S)")
+_HEADS = re.compile(r"(?i)(?<!\S)header(?!\S)")
+#: A container marked by its class alone is kept if it holds so much of a page's plain text; so is what holds that much of its parent's.
+_NEARLY_ALL = 0.9
 #: An opening tag ends an open element of these kinds, as far as the nearest element in the second set.
 _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "parent", "score", "within")
+    __slots__ = ("tag", "path", "dropped", "parent", "score", "within", "side")
 
-    def __init__(self, tag: str, path: str, dropped: bool, parent: _Element | None, within: bool):
+    def __init__(self, tag: str, path: str, dropped: bool, parent: _Element | None, within: bool, side: int | None = None):
         self.tag, self.path, self.dropped, self.parent, self.within = tag, path, dropped, parent, within
+        self.side = side  # place of the element that is dropped for its class or id alone, and holds this one
         self.score = 0.0
 
 
@@ -43,24 +49,45 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(text)))} if text.strip("/ \n") else {}
 
 
-def _open(tag: str, attributes: str, parent: _Element | None) -> _Element:
+def _open(tag: str, attributes: str, parent: _Element | None, place: int, spared: frozenset[int]) -> _Element:
     a = _attributes(attributes)
     within = parent is not None and (parent.within or parent.tag in ("article", "main"))
     kinds = f"{a.get('class', '')} {a.get('id', '')}"
-    dropped = bool(parent and parent.dropped) or tag in _DROPPED or (tag == "header" and not within) or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _ROLES
-    dropped |= tag not in ("html", "body", "article", "main") and bool(kinds.strip() and _SIDE.search(kinds))
-    dropped |= "display:none" in a.get("style", "").replace(" ", "").lower()
+    hard = tag in _DROPPED or (tag == "header" and not within) or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _ROLES
+    hard |= "display:none" in a.get("style", "").replace(" ", "").lower()
+    marked = False
+    if tag not in ("html", "body", "article", "main") and place not in spared and kinds.strip():
+        kinds = _LAYOUT.sub(" ", kinds)
+        marked = bool(_SIDE.search(_HEADS.sub(" ", kinds) if within else kinds))
+    above = bool(parent and parent.dropped)
+    side = None if hard else parent.side if above else place if marked else None
+    dropped = above or hard or marked
     path = parent.path if parent else ""
     if tag in _CONTAINERS or tag in ("html", "table", "tr"):
         # Generalised: the tag and its first class without digits, so that numbered variants agree.
         first = next(iter(a.get("class", "").split()), "")
         path = f"{path}>{tag}" + (f".{re.sub(r'[0-9]+', '', first).lower()}" if first else "")
-    return _Element(tag, path, dropped, parent, within)
+    return _Element(tag, path, dropped, parent, within, side)
 
 
 def blocks(page: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
-    """Text blocks with the container that each stands in, and all containers, in page order; what is boilerplate by itself is left out."""
+    """Text blocks with the container that each stands in, and all containers, in page order; what is boilerplate by itself is left out.
+
+    What only a class or id marks as boilerplate stays if it holds nearly all plain text, and no article has any.
+    """
+    spared: frozenset[int] = frozenset()
+    while True:
+        out, containers, marked = _blocks(page, spared)
+        most = max(marked, key=marked.get, default=None)
+        kept = sum(len(text) for _, text in out)
+        if most is None or marked[most] < _NEARLY_ALL * (kept + sum(marked.values())) or any(x.within or x.tag in ("article", "main") for x, _ in out):
+            return out, containers
+        spared |= {most}
+
+
+def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[_Element, str]], list[_Element], dict[int, int]]:
     root = at = _Element("#root", "", False, None, False)
+    marked: dict[int, int] = {}
     out: list[tuple[_Element, str]] = []
     containers = [root]
     parts: list[str] = []
@@ -104,6 +131,10 @@ def blocks(page: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
                 linked += len(text)
             else:
                 plain += len(text)
+        elif end > place and at.side is not None and not in_link:
+            size_of = len(page[place:end].strip())
+            if size_of:
+                marked[at.side] = marked.get(at.side, 0) + size_of
         if not m:
             break
         place = m.end()
@@ -136,16 +167,44 @@ def blocks(page: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
         if tag == "a":
             in_link = 0 if in_link else in_link  # an open link ends at the next
             in_link += 1
-        at = _open(tag, attributes, at)
+        at = _open(tag, attributes, at, m.start(), spared)
         if tag in _CONTAINERS:
             containers.append(at)
     flush()
-    return out, containers
+    return out, containers, marked
+
+
+def _lifted(path: str, own: dict[str, float], whole: dict[str, float]) -> str:
+    """The path of the whole text around a container: its article or main; else the highest one that has text of its own, or
+    below the body more than the container nearly has. ``own`` is the plain text that
+    stands in each path itself, ``whole`` that in it and below."""
+    above = [path]
+    while above[-1]:
+        above.append(above[-1].rpartition(">")[0])
+    tag = lambda p: p.rpartition(">")[2].partition(".")[0]
+    for p in above:
+        if tag(p) in ("article", "main"):
+            return p
+    for p in above[1:]:
+        if own.get(p, 0) > 0 or (p and tag(p) not in ("html", "body") and whole[path] < _NEARLY_ALL * whole[p]):
+            path = p
+    return path
 
 
 def score_containers(page: str, top: int = 3) -> list[tuple[str, int]]:
-    """The page's ``top`` container paths with votes: a container has its own blocks' plain text, and half its children's."""
+    """The page's ``top`` container paths with votes: a container has its own blocks' plain text, and half its children's.
+    Votes are for the path of the whole text around the container."""
     _, containers = blocks(page)
+    own: dict[str, float] = {}
+    for x in containers:
+        if x.score > 0:
+            own[x.path] = own.get(x.path, 0.0) + x.score
+    whole: dict[str, float] = {}
+    for path, n in own.items():
+        whole[path] = whole.get(path, 0.0) + n
+        while path:
+            path = path.rpartition(">")[0]
+            whole[path] = whole.get(path, 0.0) + n
     for x in reversed(containers):
         up = x.parent
         while up is not None and up.parent is not None and up.tag not in _CONTAINERS:
@@ -156,7 +215,12 @@ def score_containers(page: str, top: int = 3) -> list[tuple[str, int]]:
     for x in containers:
         if x.score > 0 and not x.dropped:
             by[x.path] = by.get(x.path, 0.0) + x.score
-    ranked = sorted(by.items(), key=lambda p: (-p[1], p[0]))[:top]
+    best: dict[str, float] = {}
+    for path, score in sorted(by.items(), key=lambda p: (-p[1], p[0])):
+        best.setdefault(_lifted(path, own, whole), score)
+        if len(best) == top:
+            break
+    ranked = list(best.items())
     return [(path, round(1000 * math.log1p(score) / (1 + 2 * n))) for n, (path, score) in enumerate(ranked)]
 
 
@@ -199,7 +263,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", sa
     """Add ``text`` and ``n_chars`` (code points) to every page.
 
     First each page's containers are scored by their plain text; the pages of a host vote on the
-    generalised tag-class path (tags, first classes without digits). Then each page gives the blocks at
+    generalised tag-class path (tags, first classes without digits) of the article, or whole text, around them. Then each page gives the blocks at
     its host's winning path, or, if it has none there, at its own best one. Menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag, role, class or
     id. Character references are decoded, white space in a block becomes one space, blocks are joined

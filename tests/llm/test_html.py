@@ -36,3 +36,20 @@ def test_shuffled_way(spark, monkeypatch):
     monkeypatch.setattr(html, "small", lambda df, rows=0: df)
     df = spark.createDataFrame([(i, "http://h/", PAGE % i) for i in range(20)], "page_id long, url string, html string")
     assert {r.text for r in html.main_text(df).collect()} == {"Head & tail\nFirst words\nA <second> block linked"}
+
+
+TEXT = "long text of the page " * 20
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body><article><h1>T</h1><p>lead</p><div class=body>{TEXT}</div></article><div>x</div></body>", f"T\nlead\n{TEXT.strip()}"),
+    (f"<body><main><section class=a><p>one</p></section><p>between</p><section class=b>{TEXT}</section></main></body>", f"one\nbetween\n{TEXT.strip()}"),
+    (f"<body><div class=post><h1>T</h1><div class=wrap><div class=body>{TEXT}</div></div></div><div class=box>box</div></body>", f"T\n{TEXT.strip()}"),
+    (f"<body><div class='content has-sidebar'><p>{TEXT}</p></div></body>", TEXT.strip()),
+    (f"<body><article><div class=post-header><h1>T</h1></div><p>{TEXT}</p></article></body>", f"T\n{TEXT.strip()}"),
+    (f"<body><p>x</p><div class=widget><p>{TEXT}</p><nav>menu</nav></div></body>", f"x\n{TEXT.strip()}"),
+])
+def test_whole_text_around_the_best_container(spark, page, text):
+    assert html.extract(page, html.score_containers(page, 1)[0][0]) == text
+    df = spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")
+    assert [r.text for r in html.main_text(df).collect()] == [text]
