@@ -82,8 +82,14 @@ class Scanner:
         for n, own in windows.items():
             x = self.notices[n]
             for a, b in own:
-                for m in self.patterns[n].finditer(text, max(a, 0), min(b, len(text))):
-                    found.append((m.start(), m.end(), x.label, 1 - sum(m.fuzzy_counts) / len(x.words)))
+                # The best match of a window first, then what stands before and behind it.
+                parts = [(max(a, 0), min(b, len(text)))]
+                while parts:
+                    start, end = parts.pop()
+                    m = self.patterns[n].search(text, start, end) if end - start >= len(x.words) - x.edits else None
+                    if m:
+                        found.append((m.start(), m.end(), x.label, 1 - sum(m.fuzzy_counts) / len(x.words)))
+                        parts += [(start, m.start()), (m.end(), end)]
         return sorted(found)
 
     def scan(self, raw: bytes) -> tuple:

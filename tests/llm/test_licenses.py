@@ -61,3 +61,12 @@ def test_scan(docs, empty, clashing, rows):
     got = licenses.scan(docs).collect()
     assert sorted(((r.text, r.n_words, r.n_base) for r in got), key=str) == sorted(((t, *base(t)[:2]) for _, t, *_ in rows), key=str)
     assert licenses.scan(empty).count() == 0 and licenses.scan(clashing).count() == len(rows)
+
+
+def test_adjacent_notices():
+    """Of notices that stand close together each is found, whichever has the edits."""
+    whole, edited, gap = "gnu general public license", "gnu generl public license", "gnu general publik license"
+    for parts in ([edited, whole], [whole, edited], [edited, whole, gap], [gap, edited, whole, whole, edited]):
+        spans = licenses.Scanner().scan(" ".join(parts).encode())[7]
+        assert [(s["first_word"], s["last_word"]) for s in spans if s["label"] == "gpl"] == [(4 * i, 4 * i + 3) for i in range(len(parts))]
+        assert [round(s["similarity"] * 26) for s in spans if s["label"] == "gpl"] == [26 if p == whole else 25 for p in parts]
