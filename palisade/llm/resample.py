@@ -114,7 +114,7 @@ def threshold(keys: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", target_rows: int = 20_000, smooth: float = 1.0, temper: int = 256, buckets: int = BUCKETS, seed: int = 23) -> DataFrame:
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", target_rows: int = 20_000, smooth: float = 1.0, temper: int | None = None, buckets: int = BUCKETS, seed: int = 23) -> DataFrame:
     """Every row with ``n_grams, log_weight, quality_score, gumbel_key``.
 
     Two bag-of-n-grams models (words and word pairs, hashed to ``buckets``): one of all texts, one of
@@ -122,9 +122,8 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     smallest keyed hash of the id (the classifier's bounded sample). ``log_weight`` is the log ratio of
     the text's probability under the target to that under the raw model, ``quality_score`` its mean
     per n-gram through the logistic function, and ``gumbel_key`` the log weight plus Gumbel noise drawn
-    from the id: the top k keys are a sample without replacement by weight. The log weight of a text of
-    more than ``temper`` n-grams is scaled to that many, or the sign of a tiny mean would decide alone
-    over all long texts. Null and empty text has no
+    from the id: the top k keys are a sample without replacement by weight. With ``temper``,
+    the log weight of a text of more n-grams than that is scaled to that many. Null and empty text has no
     n-gram and log weight 0. Equal ids and texts have equal noise. Labels of null ids, or null labels,
     are no target; without a target all weights are 0.
     """
@@ -151,7 +150,8 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             if some.any():
                 sums[some] = np.add.reduceat(ratio[found], first[:-1][some])
             mean = np.divide(sums, n, out=np.zeros(len(n)), where=some)
-            sums = mean * np.minimum(n, temper)
+            if temper is not None:
+                sums = mean * np.minimum(n, temper)
             uniform = (batch.column(batch.num_columns - 1).to_numpy().view(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
             noise = -np.log(-np.log(np.clip(uniform, 2.0**-54, 1 - 2.0**-53)))
             new = [pa.array(n.astype(np.int64)), pa.array(sums), pa.array(1 / (1 + np.exp(-mean))), pa.array(sums + noise)]

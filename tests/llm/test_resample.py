@@ -73,3 +73,16 @@ def test_edges(docs, empty, clashing, rows, spark):
     assert len(got) == len(rows) and all(r.log_weight == 0 for r in got)
     assert resample.resample(empty, labels).count() == 0
     assert resample.resample(clashing.drop("kept"), labels).filter(F.col("kept")).count() >= math.ceil(0.75 * len(rows))
+
+
+def test_long_texts_have_the_whole_log_ratio(spark):
+    long = " ".join(["a b c d"] * 500)
+    rows = [(0, "a b"), (1, long), (2, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    raw, good = Counter(g for _, t in rows for g in grams(t)), Counter(grams("a b"))
+    n = resample.BUCKETS
+    ratio = lambda g: math.log((good[g] + 1) / (3 + n)) - math.log((raw[g] + 1) / (sum(raw.values()) + n))
+    expect = sum(map(ratio, grams(long)))
+    got = {r.doc_id: r.log_weight for r in resample.weigh(docs, labels).collect()}
+    assert abs(got[1] - expect) < 1e-9 * abs(expect)
