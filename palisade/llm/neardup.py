@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, cut, octets, portions, small, text_key
-from .resample import _FOLD, span_hashes, word_spans
+from .common import arrow_batches, cut, in_order, octets, portions, small, text_key
+from .resample import _BREAK, _FOLD, word_spans
 
 SHINGLE = 5
 #: Bands and rows: a link at exactly 0.75 is missed with a chance of 5e-6, at 0.8 of 5e-8.
@@ -20,6 +20,8 @@ BANDS, ROWS = 32, 4
 PERCENT = 75
 #: Candidates whose signatures agree on less than this share are no link: 5 standard deviations below 0.75.
 SIGNATURE_SHARE = 0.55
+#: Pairs of one class that meet one copy of its text or signature.
+HUB = 20_000
 
 _RANDOM = np.random.default_rng(9)
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,17 +34,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles: ``size`` words, or all words if fewer; none without words."""
+def _encoded(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of all texts, A-Z folded, as a dictionary array (equal words, equal number), and the number of words before each text."""
     at, data = octets(column)
     data = _FOLD[data]
     starts, ends, first = word_spans(at, data)
-    words = span_hashes(data, starts, ends)
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[~_BREAK[data]]))])
+    return words.dictionary_encode(), first
+
+
+def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles: ``size`` words, or all words if fewer; none without words.
+
+    A word's hash is that of its bytes by BLAKE2, so that no words can be made to collide at will.
+    """
+    coded, first = _encoded(column)
+    digests = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in coded.dictionary.to_pylist())
+    words = np.frombuffer(digests, np.uint64)[coded.indices.to_numpy()]
     n = max(len(words) - size + 1, 0)
     rolled = np.zeros(n, np.uint64)
     for k in range(size):
-        rolled = rolled * _STEP + words[k : k + n]
-    rolled = _mix(rolled)
+        rolled = _mix(rolled * _STEP + words[k : k + n])
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:
@@ -51,13 +64,32 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
         elif b > a:
             value = np.full(1, b - a, np.uint64)
             for k in range(a, b):
-                value = value * _STEP + words[k : k + 1]
+                value = _mix(value * _STEP + words[k : k + 1])
             out.append(_mix(value + np.uint64(1)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
+def exact_sets(column: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """Each text's distinct shingles as numbers, equal just where the shingles' words are, byte for byte; no hash is compared.
+
+    Words are numbered by their bytes; runs of words by the numbers of a shorter run and the next word.
+    Texts with fewer words than ``size`` have a number of their own: such a text has the same set as
+    another only if both are in one class.
+    """
+    coded, first = _encoded(column)
+    words = coded.indices.to_numpy().astype(np.int64)
+    n = max(len(words) - size + 1, 0)
+    names = words[:n]
+    for k in range(1, size):
+        names = np.unique(names * len(coded.dictionary) + words[k : k + n], return_inverse=True)[1]
+    out = []
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        out.append(np.unique(names[a : b - size + 1]) if b - a >= size else np.full(int(b > a), -1 - i))
+    return out
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Minima of many universal hashes (multiply, add, upper half) of each set; (sets, hashes) of uint32."""
     out = np.full((len(sets), len(_FACTORS)), 0xFFFFFFFF, np.uint32)
@@ -115,8 +147,9 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose whole shingle sets are similar enough, in whole numbers."""
     for batch in portions(portions(batches, "ta", 1 << 20), "tb", 1 << 20):
-        keep = []
-        for i, (x, y) in enumerate(zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)))):
+        keep, n = [], batch.num_rows
+        sets = exact_sets(pa.concat_arrays([batch.column(2), batch.column(3)]))
+        for i, (x, y) in enumerate(zip(sets[:n], sets[n:])):
             both = len(np.intersect1d(x, y, assume_unique=True))
             if both and 100 * both >= PERCENT * (len(x) + len(y) - both):
                 keep.append(i)
@@ -147,27 +180,42 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``t_node, text`` of the documents that stand for ``wanted`` (rep, rep_key, node)."""
+    """``t_node, text`` of the documents that stand for ``wanted`` (rep, rep_key, node); one row each, repeated rows too."""
     rows = docs.select(F.col(id_col).alias("t_id"), text_key(text_col).alias("t_key"), F.col(text_col).alias("text"))
     met = rows.join(small(wanted), F.col("t_id").eqNullSafe(F.col("rep")) & (F.col("t_key") == F.col("rep_key")))
-    return met.select(F.col("node").alias("t_node"), "text")
+    return met.groupBy(F.col("node").alias("t_node")).agg(F.min("text").alias("text"))
+
+
+def _beside(pairs: DataFrame, values: DataFrame, node: str, value: str) -> DataFrame:
+    """``pairs(a, b)`` with the values of both ends, as ``{value}a`` and ``{value}b``.
+
+    Each end meets its value in a shuffled join. An end of very many pairs (the centre of a large group)
+    has its value copied once for each ``HUB`` of them, and its pairs dealt over the copies.
+    """
+    for end, other in (("b", "a"), ("a", "b")):
+        ends = values.select(F.col(node).alias("v_node"), F.col(value).alias(f"{value}{end}"))
+        hubs = pairs.groupBy(F.col(end).alias("hub")).agg(F.ceil(F.count("*") / HUB).cast("int").alias("copies")).filter("copies > 1")
+        if hubs.isEmpty():
+            pairs = pairs.join(ends, F.col(end) == F.col("v_node")).drop("v_node")
+            continue
+        hubs = small(cut(hubs))
+        salt = F.when(F.col("copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("copies")).cast("int"))
+        dealt = pairs.join(hubs, F.col(end) == F.col("hub"), "left").withColumn("salt", salt).drop("hub", "copies")
+        salted = ends.join(hubs, F.col("v_node") == F.col("hub"), "left")
+        salted = salted.withColumn("v_salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("hub", "copies")
+        pairs = dealt.join(salted, (F.col(end) == F.col("v_node")) & (F.col("salt") == F.col("v_salt"))).drop("v_node", "v_salt", "salt")
+    return pairs.select("a", "b", f"{value}a", f"{value}b")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ends = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
     wanted = cut(classes.select("rep", "rep_key", "node").join(ends, F.col("node") == F.col("x"), "left_semi"))
-    # Repeated rows stand for the same class: one text each, chosen per node after the filter.
-    texts = _texts(docs, wanted, id_col, text_col)
-    b = pairs.join(texts.select(F.col("t_node").alias("n1"), F.col("text").alias("tb")), F.col("b") == F.col("n1")).select("a", "b", "tb")
-    both = b.join(texts.select(F.col("t_node").alias("n2"), F.col("text").alias("ta")), F.col("a") == F.col("n2")).select("a", "b", "ta", "tb")
-    return cut(both.mapInArrow(_confirm, "a long, b long").distinct())
+    texts = _texts(docs, wanted, id_col, text_col).withColumnRenamed("text", "t")
+    return cut(_beside(pairs, texts, "t_node", "t").mapInArrow(_confirm, "a long, b long").distinct())
 
 
 def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    sig = classes.select(F.col("node").alias("s"), "sig")
-    b = pairs.join(sig.select(F.col("s").alias("n1"), F.col("sig").alias("sb")), F.col("b") == F.col("n1")).select("a", "b", "sb")
-    both = b.join(sig.select(F.col("s").alias("n2"), F.col("sig").alias("sa")), F.col("a") == F.col("n2")).select("a", "b", "sa", "sb")
-    return cut(both.mapInArrow(_agree, "a long, b long, like double"))
+    return cut(_beside(pairs, classes.select("node", F.col("sig").alias("s")), "node", "s").mapInArrow(_agree, "a long, b long, like double"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,23 +225,26 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     five words (all words if fewer). Documents with equal sets are one class, so copies cost no pairs.
     Classes that share a band of their signature are candidates. Each class is first paired with its
     band's class of the smallest id, not with all others; candidates are verified by signatures, then
-    confirmed on the full sets, the best one of each class first. The others follow only if they would
-    join two components; so do, in all bands that still hold several components, the pairs of classes
-    from different ones, so that no link is lost to the choice of the centre. Components come from
-    alternating large-star and small-star; ``component_id`` is the smallest id in the component.
+    confirmed on the full sets, byte for byte, the best one of each class first. The others follow only
+    if they would join two components. In bands that still hold several components, a second centre
+    does the same; what is left is compared across components by ``_prefix_pairs``, so that no
+    link is lost to the choice of the centres. Components come from alternating large-star and
+    small-star; ``component_id`` is the smallest id in the component.
 
     Null and empty texts, and texts without words, have no shingles and are alone. Repeated rows, and
-    ties in any hash, end in the same component. Rows whose id is null take part; a component
-    with only null ids has a null id. An empty table gives an empty result.
+    ties in any hash, end in the same component. Ids may be of any type that has an order. Rows whose
+    id is null take part; a component with only null ids has a null id. An empty table gives an empty result.
     """
     signed = cut(sign(docs, id_col, text_col))
     first = F.min(F.struct("doc_id", "key"))
     classes = cut(signed.filter("node is not null").groupBy("node").agg(first.alias("first"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("n").alias("n")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("rep_key"), "least", "sig", "n"))
-    bands = classes.select(F.coalesce(F.col("least").cast("long"), F.xxhash64("least")).alias("rep"), "node", "sig").mapInArrow(_band_rows, "band long, rep long, node long")
+    whole = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    rep = F.coalesce(F.col("least").cast("long"), F.lit(2**63 - 1)) if whole else F.xxhash64("least")
+    bands = classes.select(rep.alias("rep"), "node", "sig").mapInArrow(_band_rows, "band long, rep long, node long")
     centres = bands.groupBy("band").agg(F.min(F.struct("rep", "node")).alias("centre"), F.count("*").alias("size")).filter("size > 1").select(F.col("band").alias("c_band"), F.col("centre.node").alias("centre"), "size")
     # Only bands that several classes share go on.
     shared = cut(bands.join(centres, F.col("band") == F.col("c_band")).select("band", "node", "centre", "size"))
-    star = shared.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = cut(shared.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
     left = _verified(star, classes)
     # Best candidate of each class first: what it links need not be confirmed again.
     best = cut(left.groupBy("b").agg(F.max(F.struct("like", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"))
@@ -203,13 +254,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The class of a band that has the most of what others have, too, is the best second centre.
     rows = _reaching(shared, placed, roots, classes)
     second = rows.groupBy("band").agg(F.max(F.struct(F.col("reach") / F.col("n"), "node", "root", "reach", "n")).alias("c"))
-    near = rows.join(second.select(F.col("band").alias("band2"), "c"), F.col("band") == F.col("band2")).filter((F.col("root") != F.col("c.root")) & _enough("reach", "n", "c.reach", "c.n"))
-    near = near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    near = rows.join(small(cut(second.select(F.col("band").alias("band2"), "c"))), F.col("band") == F.col("band2")).filter((F.col("root") != F.col("c.root")) & _enough("reach", "n", "c.reach", "c.n"))
+    near = cut(near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
     rest = _across(left.select("a", "b").join(best.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), roots)
     links = cut(links.unionByName(_confirmed(docs, cut(rest.unionByName(_verified(near, classes).select("a", "b")).distinct()), classes, id_col, text_col)))
     roots = stars(links)
-    more = _cross_pairs(_reaching(shared, placed, roots, classes))
-    more = _verified(more, classes).select("a", "b")
+    more = _verified(_prefix_pairs(placed, _reaching(shared, placed, roots, classes)), classes).select("a", "b")
     if not more.isEmpty():
         roots = stars(links.unionByName(_confirmed(docs, more, classes, id_col, text_col)))
     nodes = classes.select("node", "least")
@@ -270,20 +320,39 @@ def _enough(reach: str, n: str, reach2: str, n2: str):
     return (100 + PERCENT) * F.least(reach, reach2) >= PERCENT * (F.col(n) + F.col(n2))
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes that share a band but no component and can be linked."""
-    other = rows.select(F.col("band").alias("band2"), F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("reach").alias("reach2"))
-    pairs = rows.join(other, (F.col("band") == F.col("band2")) & (F.col("root") != F.col("root2")) & (F.col("node") < F.col("b")) & _enough("reach", "n", "reach2", "n2"))
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+def _prefix_pairs(placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of classes from different components that their sizes and rarest shingles leave possible.
+
+    An exact prefix-filtered join. Only shingles that several components have count. Each class orders
+    its own by rarity; two classes with the overlap that a link needs share one of the first ``reach -
+    least overlap + 1`` of each. Classes meet on those, and stay a pair if their sizes and the places
+    of the shingle in both orders leave room for the overlap. In a family of copies with too many edits,
+    the rare shingles are each copy's own, so such copies don't meet.
+    """
+    nodes = rows.select("node", "root", "n", "reach").distinct()
+    own = placed.join(nodes, F.col("t_node") == F.col("node")).select("node", "root", "n", "reach", "shingle")
+    common = own.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).filter("low != high").select(F.col("shingle").alias("c"), "df")
+    ranked = own.join(common, F.col("shingle") == F.col("c")).drop("c")
+    # ``reach`` was counted before classes that can't be linked had left: count again what is in the order.
+    ranked = ranked.withColumn("reach", F.count("*").over(Window.partitionBy("node"))).withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
+    partner = F.ceil(PERCENT * F.col("n") / 100)
+    overlap = F.ceil(PERCENT * (F.col("n") + partner) / (100 + PERCENT))
+    first = cut(ranked.filter(F.col("place") <= F.col("reach") - overlap + 1).drop("df"))
+    other = first.select(*(F.col(c).alias(f"{c}2") for c in first.columns))
+    room = F.least("place", "place2") + F.least(F.col("reach") - F.col("place"), F.col("reach2") - F.col("place2"))
+    sizes = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
+    met = first.join(other, (F.col("shingle") == F.col("shingle2")) & (F.col("root") != F.col("root2")) & (F.col("node") < F.col("node2")) & sizes & ((100 + PERCENT) * room >= PERCENT * (F.col("n") + F.col("n2"))))
+    return cut(met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct())
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one with the smallest id; all columns of ``docs``. Repeated rows leave one."""
+    """One row of each component, the one with the smallest id; all columns of ``docs``. Repeated rows leave one, the first by ``in_order``."""
     found = cut(components(docs, id_col, text_col))
     stays = found.filter(F.col("root").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "root").agg(F.min("key").alias("key"))
     alone = found.filter("root is null").select("doc_id", "key").distinct()
     stays = stays.select("doc_id", "key").unionByName(alone).select(F.col("doc_id").alias("_id2"), F.col("key").alias("_key2")).distinct()
-    rows = docs.withColumns({"_id": F.col(id_col), "_key": text_key(text_col)})
-    rows = rows.join(stays, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id2", "_key2").orderBy(F.lit(0))))
-    return rows.filter("_n = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_key(text_col).alias("key"))
+    rows = rows.join(stays, F.col("id").eqNullSafe(F.col("_id2")) & (F.col("key") == F.col("_key2")), "left_semi")
+    if not found.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy(*in_order(docs, "row.")))).filter("n = 1")
+    return rows.select("row.*")

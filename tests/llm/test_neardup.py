@@ -103,3 +103,79 @@ def test_dedup(docs, rows, empty, clashing):
     assert sum(bool(shingles(t)) for t in texts) == len(groups) + 1
     assert neardup.dedup(empty).count() == 0 and neardup.components(empty).count() == 0
     assert neardup.dedup(clashing).count() == len(got)
+
+
+def test_words_cannot_be_made_to_collide(spark):
+    """Two words that a polynomial modulo 2**64 can't tell apart (Thue-Morse and its complement) are different words."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one two {a} four five six"), (2, f"one two {b} four five six")]
+    x, y = neardup.shingle_sets(pa.array([t for _, t in rows]))
+    assert not set(x.tolist()) & set(y.tolist())
+    x, y = neardup.exact_sets(pa.array([t for _, t in rows]))
+    assert not set(x.tolist()) & set(y.tolist())
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_exact_sets_are_the_sets(rows):
+    texts = [r[1] for r in rows][:80]
+    sets = neardup.exact_sets(pa.array(texts, pa.string()))
+    for s, t in zip(sets, texts):
+        assert len(s) == len(shingles(t))
+    for i in range(0, len(texts), 7):
+        for j in range(i):
+            if min(len(sets[i]), len(sets[j])) > 1:
+                assert len(set(sets[i].tolist()) & set(sets[j].tolist())) == len(shingles(texts[i]) & shingles(texts[j]))
+
+
+def test_string_ids_equal_brute_force(spark, rows):
+    named = [(None if r[0] is None else f"a{r[0]:04}", r[1]) for r in rows]
+    assert result(spark.createDataFrame(named, "doc_id string, text string")) == brute(named)
+
+
+def family(n, edits, seed, places=range(100)):
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(places, rng.choice(edits)):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_many_copies_below_the_threshold_make_few_candidates(spark, monkeypatch):
+    """2,000 copies of one text, each with edits enough that no two are linked: pairs don't grow with their square."""
+    rows = family(2000, (4, 5, 6), 5, range(4, 96, 6))  # far apart, so that each edit takes five shingles
+    counts, plain = [], neardup._prefix_pairs
+
+    def counted(placed, left):
+        out = plain(placed, left)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "_prefix_pairs", counted)
+    got = result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert [g[2] for g in got] == [g[0] for g in got] and counts and counts[0] < 2000, counts
+
+
+def test_copies_around_the_threshold_equal_brute_force(spark):
+    rows = family(300, (0, 1, 2, 3), 6)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_hubs_are_dealt_over_copies(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB", 1)
+    many = family(60, (1, 1, 2), 7)
+    assert result(spark.createDataFrame(many, "doc_id long, text string")) == brute(many)
+
+
+def test_repeated_rows_leave_the_same_one(spark):
+    rows = [(1, "one two three four five six", c) for c in "abcdef"] + [(2, None, "x"), (2, None, "y")]
+    names = "doc_id long, text string, _key string"
+    one = neardup.dedup(spark.createDataFrame(rows, names).repartition(3)).collect()
+    two = neardup.dedup(spark.createDataFrame(rows[::-1], names).repartition(2)).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == 2 and all(r._key for r in one)
