@@ -61,6 +61,18 @@ def test_edges(docs, empty, clashing, rows, benchmark):
     assert kept.columns == clashing.columns and kept.count() == sum(not r[4] for r in brute(rows, items))
 
 
+def test_passage_in_a_long_document(spark):
+    """A passage of 20 words among 5,000 is under one in 20 words; the strict way drops the document all the same."""
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(1, " ".join(f"w{i}" for i in range(2500)) + " " + item + " " + " ".join(f"v{i}" for i in range(2500))), (2, "clean words"), (3, None), (4, item.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"d": F.lit("x"), "key": F.lit("y"), "row": F.lit("z")})
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.decontaminate(docs, items)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+    kept = decontaminate.decontaminate(docs, items, any_hit=True)
+    assert sorted((r.doc_id, r.d, r.key, r.row) for r in kept.collect()) == [(2, "x", "y", "z"), (3, "x", "y", "z")]
+
+
 def test_plan_is_native(docs, benchmark):
     plan = decontaminate.annotate(docs, benchmark[0])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
