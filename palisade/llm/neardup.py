@@ -227,8 +227,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     band's class of the smallest id, not with all others; candidates are verified by signatures, then
     confirmed on the full sets, byte for byte, the best one of each class first. The others follow only
     if they would join two components. In bands that still hold several components, a second centre
-    does the same; what is left is compared across components by ``_prefix_pairs``, so that no
-    link is lost to the choice of the centres. Components come from alternating large-star and
+    does the same; what is left meets across components by a prefix-filtered join of differences from that
+    centre (``_prefix_pairs``), so that no link is lost to the choice of the centres. Components come from alternating large-star and
     small-star; ``component_id`` is the smallest id in the component.
 
     Null and empty texts, and texts without words, have no shingles and are alone. Repeated rows, and
@@ -253,13 +253,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = _placed(docs, shared, roots, classes, id_col, text_col)
     # The class of a band that has the most of what others have, too, is the best second centre.
     rows = _reaching(shared, placed, roots, classes)
-    second = rows.groupBy("band").agg(F.max(F.struct(F.col("reach") / F.col("n"), "node", "root", "reach", "n")).alias("c"))
-    near = rows.join(small(cut(second.select(F.col("band").alias("band2"), "c"))), F.col("band") == F.col("band2")).filter((F.col("root") != F.col("c.root")) & _enough("reach", "n", "c.reach", "c.n"))
+    second = cut(rows.groupBy("band").agg(F.max(F.struct(F.col("reach") / F.col("n"), "node", "root", "reach", "n")).alias("c")).select(F.col("band").alias("band2"), "c"))
+    near = rows.join(small(second), F.col("band") == F.col("band2")).filter((F.col("root") != F.col("c.root")) & _enough("reach", "n", "c.reach", "c.n"))
     near = cut(near.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
     rest = _across(left.select("a", "b").join(best.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"), roots)
     links = cut(links.unionByName(_confirmed(docs, cut(rest.unionByName(_verified(near, classes).select("a", "b")).distinct()), classes, id_col, text_col)))
     roots = stars(links)
-    more = _verified(_prefix_pairs(placed, _reaching(shared, placed, roots, classes)), classes).select("a", "b")
+    rows = _reaching(shared, placed, roots, classes)
+    members = rows.join(small(second), F.col("band") == F.col("band2")).select(F.col("c.node").alias("centre"), "node", "root", "n").distinct()
+    more = _verified(_prefix_pairs(placed, members), classes).select("a", "b")
     if not more.isEmpty():
         roots = stars(links.unionByName(_confirmed(docs, more, classes, id_col, text_col)))
     nodes = classes.select("node", "least")
@@ -320,28 +322,37 @@ def _enough(reach: str, n: str, reach2: str, n2: str):
     return (100 + PERCENT) * F.least(reach, reach2) >= PERCENT * (F.col(n) + F.col(n2))
 
 
-def _prefix_pairs(placed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of classes from different components that their sizes and rarest shingles leave possible.
+def _prefix_pairs(placed: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of classes from different components that can still be linked, all of them; ``members``: ``centre, node, root, n``.
+
+    An exact prefix-filtered join on differences. Each class is described by its difference from its
+    centre: the shingles that just one of the two has. A link bounds the pair's own difference by
+    ``limit = (n + n2) * (100 - PERCENT) / (100 + PERCENT)``, so the two descriptions, of sizes d and d2,
+    share at least ``k = (d + d2 - limit) / 2`` shingles. Where that asks for none, both are so near the centre that
+    each is linked with it, thus in one component already: k is 1 at least. In the order of rarity
+    within the centre's group, the first shared shingle is among the first ``held - k + 1`` of each, and
+    its places leave room for k. Only shingles that several components hold in their descriptions count.
 
-    An exact prefix-filtered join. Only shingles that several components have count. Each class orders
-    its own by rarity; two classes with the overlap that a link needs share one of the first ``reach -
-    least overlap + 1`` of each. Classes meet on those, and stay a pair if their sizes and the places
-    of the shingle in both orders leave room for the overlap. In a family of copies with too many edits,
-    the rare shingles are each copy's own, so such copies don't meet.
+    The shingles that a large family has in common, which would bring all of it together, are in no description; an
+    edit that two members don't share brings none together. So pairs grow with likely links.
     """
-    nodes = rows.select("node", "root", "n", "reach").distinct()
-    own = placed.join(nodes, F.col("t_node") == F.col("node")).select("node", "root", "n", "reach", "shingle")
-    common = own.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).filter("low != high").select(F.col("shingle").alias("c"), "df")
-    ranked = own.join(common, F.col("shingle") == F.col("c")).drop("c")
-    # ``reach`` was counted before classes that can't be linked had left: count again what is in the order.
-    ranked = ranked.withColumn("reach", F.count("*").over(Window.partitionBy("node"))).withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle")))
-    partner = F.ceil(PERCENT * F.col("n") / 100)
-    overlap = F.ceil(PERCENT * (F.col("n") + partner) / (100 + PERCENT))
-    first = cut(ranked.filter(F.col("place") <= F.col("reach") - overlap + 1).drop("df"))
-    other = first.select(*(F.col(c).alias(f"{c}2") for c in first.columns))
-    room = F.least("place", "place2") + F.least(F.col("reach") - F.col("place"), F.col("reach2") - F.col("place2"))
+    span = members.groupBy("centre").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(F.col("centre").alias("m_centre"))
+    members = cut(members.join(span, F.col("centre") == F.col("m_centre"), "left_semi").filter("node != centre"))
+    own = members.join(placed, F.col("node") == F.col("t_node")).select("centre", "node", "root", "n", "shingle")
+    its = members.join(placed, F.col("centre") == F.col("t_node")).select("centre", "node", "root", "n", "shingle")
+    differ = own.unionByName(its).groupBy("centre", "node", "root", "n", "shingle").agg(F.count("*").alias("times")).filter("times = 1").drop("times")
+    differ = cut(differ.withColumn("d", F.count("*").over(Window.partitionBy("centre", "node"))))
+    common = differ.groupBy("centre", "shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("df")).filter("low != high").select("centre", "shingle", "df")
+    ranked = differ.join(common, ["centre", "shingle"]).withColumn("held", F.count("*").over(Window.partitionBy("centre", "node")))
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("centre", "node").orderBy("df", "shingle"))).drop("df")
+    ranked = cut(ranked)
+    other = ranked.select(*(F.col(c).alias(f"{c}2") for c in ranked.columns))
+    k = F.greatest(F.lit(1), F.ceil(((100 + PERCENT) * (F.col("d") + F.col("d2")) - (100 - PERCENT) * (F.col("n") + F.col("n2"))) / (2 * (100 + PERCENT))))
     sizes = 100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")
-    met = first.join(other, (F.col("shingle") == F.col("shingle2")) & (F.col("root") != F.col("root2")) & (F.col("node") < F.col("node2")) & sizes & ((100 + PERCENT) * room >= PERCENT * (F.col("n") + F.col("n2"))))
+    prefix = (F.col("place") <= F.col("held") - k + 1) & (F.col("place2") <= F.col("held2") - k + 1)
+    room = F.least("place", "place2") + F.least(F.col("held") - F.col("place"), F.col("held2") - F.col("place2")) >= k
+    same = (F.col("centre") == F.col("centre2")) & (F.col("shingle") == F.col("shingle2"))
+    met = ranked.join(other, same & (F.col("root") != F.col("root2")) & (F.col("node") < F.col("node2")) & sizes & prefix & room)
     return cut(met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct())
 
 
