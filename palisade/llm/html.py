@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, portions, small
+from .common import arrow_batches, cut, portions, small
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -27,6 +27,10 @@ _DROPPED = frozenset("nav footer aside form script style noscript template ifram
 _ROLES = frozenset("navigation banner complementary contentinfo search alert dialog menu menubar form".split())
 #: Words in a class or id that mark what isn't the article.
 _SIDE = re.compile(r"(?i)(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|header|masthead|footer|side-?bar|aside|ads?|advert(?:s|isement)?s?|banner|promo(?:tion)?s?|sponsor(?:ed)?|cookies?|consent|gdpr|notices?|alert|pop-?up|modal|overlay|comments?|replies|reply|respond|disqus|share|sharing|social|related|recommended|breadcrumbs?|pagination|pager|newsletter|subscribe|signup|login|search|widget|toolbar|skip-?link|copyright)(?:$|[\s_-])")
+#: Those that don't name readers' comments, menus, side columns or consent: they also occur on what holds the article.
+_WEAK = re.compile(r"(?i)(?<![^\s_-])(?:header|masthead|banner|promo(?:tion)?s?|notices?|alert|overlay|modal|share|sharing|social|pager|subscribe|signup|login|search|widget|toolbar)(?![^\s_-])")
+#: A container that only such words mark is kept if it holds this share of the page's plain text, and more plain than linked text.
+_MUCH = 0.25
 #: Words in a class that say how a container is laid out, or that it heads the text: none marks what isn't the article.
 _LAYOUT = re.compile(r"(?i)(?<!\S)(?:(?:has|with|without|no|hide|show)[-_]\S*|(?:post|entry|article|content|story|section)[-_]+header)(?!\S)")
 _HEADS = re.compile(r"(?i)(?<!\S)header(?!\S)")
@@ -37,11 +41,12 @@ _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "parent", "score", "within", "side")
+    __slots__ = ("tag", "path", "dropped", "parent", "score", "within", "side", "weak")
 
-    def __init__(self, tag: str, path: str, dropped: bool, parent: _Element | None, within: bool, side: int | None = None):
+    def __init__(self, tag: str, path: str, dropped: bool, parent: _Element | None, within: bool, side: int | None = None, weak: bool = False):
         self.tag, self.path, self.dropped, self.parent, self.within = tag, path, dropped, parent, within
         self.side = side  # place of the element that is dropped for its class or id alone, and holds this one
+        self.weak = weak  # whether that element's words are weak ones
         self.score = 0.0
 
 
@@ -53,41 +58,52 @@ def _open(tag: str, attributes: str, parent: _Element | None, place: int, spared
     a = _attributes(attributes)
     within = parent is not None and (parent.within or parent.tag in ("article", "main"))
     kinds = f"{a.get('class', '')} {a.get('id', '')}"
-    hard = tag in _DROPPED or (tag == "header" and not within) or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _ROLES
+    hard = tag in _DROPPED or (tag == "header" and not within and not _LAYOUT.search(kinds)) or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in _ROLES
     hard |= "display:none" in a.get("style", "").replace(" ", "").lower()
-    marked = False
+    marked = weak = False
     if tag not in ("html", "body", "article", "main") and place not in spared and kinds.strip():
         kinds = _LAYOUT.sub(" ", kinds)
-        marked = bool(_SIDE.search(_HEADS.sub(" ", kinds) if within else kinds))
+        kinds = _HEADS.sub(" ", kinds) if within else kinds
+        marked = bool(_SIDE.search(kinds))
+        weak = marked and not _SIDE.search(_WEAK.sub(" ", kinds))
     above = bool(parent and parent.dropped)
     side = None if hard else parent.side if above else place if marked else None
+    weak = bool(parent and parent.weak) if above else weak
     dropped = above or hard or marked
     path = parent.path if parent else ""
     if tag in _CONTAINERS or tag in ("html", "table", "tr"):
         # Generalised: the tag and its first class without digits, so that numbered variants agree.
         first = next(iter(a.get("class", "").split()), "")
         path = f"{path}>{tag}" + (f".{re.sub(r'[0-9]+', '', first).lower()}" if first else "")
-    return _Element(tag, path, dropped, parent, within, side)
+    return _Element(tag, path, dropped, parent, within, side, weak)
 
 
 def blocks(page: str) -> tuple[list[tuple[_Element, str]], list[_Element]]:
     """Text blocks with the container that each stands in, and all containers, in page order; what is boilerplate by itself is left out.
 
-    What only a class or id marks as boilerplate stays if it holds nearly all plain text, and no article has any.
+    What only a class or id marks as boilerplate is judged by its text, too. If weak words mark it, it stays if it
+    holds ``_MUCH`` of the plain text that no other words mark, and more than it has in links; in any case it stays if it holds nearly all
+    plain text and no article has any.
     """
     spared: frozenset[int] = frozenset()
     while True:
         out, containers, marked = _blocks(page, spared)
-        most = max(marked, key=marked.get, default=None)
         kept = sum(len(text) for _, text in out)
-        if most is None or marked[most] < _NEARLY_ALL * (kept + sum(marked.values())) or any(x.within or x.tag in ("article", "main") for x, _ in out):
+        total = kept + sum(m[0] for m in marked.values())
+        open_ = kept + sum(m[0] for m in marked.values() if m[2])
+        more = {at for at, (plain, linked, weak) in marked.items() if weak and plain > linked and plain >= _MUCH * open_}
+        most = max(marked, key=lambda at: marked[at][0], default=None)
+        if most is not None and marked[most][0] >= _NEARLY_ALL * total and not any(x.within or x.tag in ("article", "main") for x, _ in out):
+            more.add(most)
+        if not more:
             return out, containers
-        spared |= {most}
+        spared |= more
 
 
-def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[_Element, str]], list[_Element], dict[int, int]]:
+def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[_Element, str]], list[_Element], dict[int, tuple[int, int, bool]]]:
+    """As ``blocks``; also the plain and linked text of what a class or id marks, by its place, and whether only weak words do."""
     root = at = _Element("#root", "", False, None, False)
-    marked: dict[int, int] = {}
+    marked: dict[int, tuple[int, int, bool]] = {}
     out: list[tuple[_Element, str]] = []
     containers = [root]
     parts: list[str] = []
@@ -131,10 +147,11 @@ def _blocks(page: str, spared: frozenset[int]) -> tuple[list[tuple[_Element, str
                 linked += len(text)
             else:
                 plain += len(text)
-        elif end > place and at.side is not None and not in_link:
+        elif end > place and at.side is not None:
             size_of = len(page[place:end].strip())
             if size_of:
-                marked[at.side] = marked.get(at.side, 0) + size_of
+                plain_of, linked_of, _ = marked.get(at.side, (0, 0, False))
+                marked[at.side] = (plain_of, linked_of + size_of, at.weak) if in_link else (plain_of + size_of, linked_of, at.weak)
         if not m:
             break
         place = m.end()
@@ -273,10 +290,14 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", sa
     """
     arrow_batches(pages.sparkSession, 500)
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
-    paths = host_paths(pages, url_col, html_col).withColumnRenamed("host", "_host").withColumnRenamed("path", "_path")
+    paths = cut(host_paths(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path")))
     rows = pages.select(*keep, host(url_col).alias("_h"), F.pmod(F.xxhash64(html_col), F.lit(salts)).alias("_s"), F.coalesce(html_col, F.lit("")).alias("_page"))
-    salted = small(paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    rows = rows.join(salted, (F.col("_h") == F.col("_host")) & (F.col("_s") == F.col("_salt")), "left").select(*keep, "_path", "_page")
+    few = small(paths)
+    if few is not paths:
+        rows = rows.join(few, F.col("_h") == F.col("_host"), "left").select(*keep, "_path", "_page")
+    else:
+        salted = paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.join(salted, (F.col("_h") == F.col("_host")) & (F.col("_s") == F.col("_salt")), "left").select(*keep, "_path", "_page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "_page"):

@@ -53,3 +53,46 @@ def test_whole_text_around_the_best_container(spark, page, text):
     assert html.extract(page, html.score_containers(page, 1)[0][0]) == text
     df = spark.createDataFrame([(1, "http://h/", page)], "page_id long, url string, html string")
     assert [r.text for r in html.main_text(df).collect()] == [text]
+
+
+@pytest.mark.parametrize("name", ["elementor-widget", "content-header", "widget widget_text", "social-study", "wrap share-wrapper"])
+def test_weak_words_do_not_drop_the_article(name):
+    page = f"<body><h1>Title</h1><p>{'A lead of some length. ' * 8}</p><div class='{name}'><p>{TEXT}</p></div><div class='{name}'><a href=x>one link</a> | <a href=y>another</a></div><div class=comments><p>{TEXT * 3}</p></div></body>"
+    got = html.extract(page, html.score_containers(page, 1)[0][0])
+    assert TEXT.strip() in got and got.count(TEXT.strip()) == 1 and "Title" in got
+
+
+def test_own_header_stays():
+    for page in (f"<body><article><header class='entry-header'><h1>T</h1></header><p>{TEXT}</p></article></body>", f"<body><header>Site</header><div class=post><header class='entry-header'><h1>T</h1></header><p>{TEXT}</p></div></body>"):
+        assert html.extract(page, html.score_containers(page, 1)[0][0]) == f"T\n{TEXT.strip()}"
+
+
+def test_all_parts_of_an_article():
+    page = f"<body><article><div class=a>{TEXT}</div><pre>code here</pre><div class=b>{TEXT}</div></article></body>"
+    assert html.extract(page, html.score_containers(page, 1)[0][0]) == f"{TEXT.strip()}\ncode here\n{TEXT.strip()}"
+
+
+def test_clashing_columns_and_long_pages(spark):
+    long = "<body><article>" + "".join(f"<p>paragraph {i} &amp; more</p>" for i in range(20_000)) + "</article></body>"
+    df = spark.createDataFrame([(1, "http://h/", long, "x", "y", "z", 7), (2, "http://h/", None, None, None, None, None)], "page_id long, url string, html string, text string, host string, path string, n_chars int")
+    got = {r.page_id: r for r in html.main_text(df).collect()}
+    assert got[1].text == "\n".join(f"paragraph {i} & more" for i in range(20_000)) and got[1].n_chars == len(got[1].text)
+    assert (got[1].host, got[1].path, got[2].text, got[2].n_chars) == ("y", "z", "", 0)
+
+
+def test_random_pages_equal_their_articles(spark):
+    """Pages put together from known parts: what comes out is the article's own blocks, all of them."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["stone", "r&eacute;sum&eacute;", "a&amp;b", "light", "paper", "green"])
+    plain = lambda t: t.replace("&eacute;", "é").replace("&amp;", "&")
+    rows, want = [], {}
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 9))]
+        wrap = [rng.choice(["<p>{}</p>", "<div class=x%d>{}</div>" % i, "<pre>{}</pre>", "<ul><li>{}</ul>", "<blockquote><p>{}</blockquote>", "<table><tr><td>{}</table>"]).format(p.replace(" ", rng.choice([" ", "\n ", "&nbsp;", " <b></b>"]))) for p in parts]
+        noise = lambda: rng.choice(["<nav><a href=x>menu</a></nav>", "<aside>side</aside>", "<div class=ads>buy</div>", "<!-- c -->", "<script>if (a<b) {}</script>", "<form>mail</form>"])
+        rows.append((i, f"http://host{i % 3}/", f"<html><body><header><h2>Site</h2></header>{noise()}<article>{''.join(w + (noise() if rng.random() < 0.3 else '') for w in wrap)}</article>{noise()}<footer>foot</footer></body></html>"))
+        want[i] = "\n".join(map(plain, parts))
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
