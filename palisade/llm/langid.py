@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, octets, portions
+from .common import arrow_batches, cut, octets, portions
 
 #: Byte n-grams that are looked up.
 ORDERS = (2, 3, 4)
@@ -129,23 +129,34 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, grams: int = 30_000, share: float = 0.2, seed: int = 5) -> LanguageFilter:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, grams: int = 30_000, share: float = 0.2, seed: int = 5, languages: int = 1000, salts: int = 64) -> LanguageFilter:
     """Fit the filter on a bounded sample: of each language the ``per_language`` labelled rows, not held
     out, with the smallest keyed hash of the id.
 
-    A language has an n-gram if it is among its ``grams`` most frequent ones and at least ``share``
-    times as frequent in it as in the language where it is most frequent. Languages go by how many
-    n-grams were seen, then by name: ties in ``predict`` go to the first. Without labelled text the
-    filter has no language, and every text is ``und``.
+    A language has an n-gram if it is among its ``grams`` most frequent ones (n-grams as frequent as the
+    first that is not are left out, too) and at least ``share`` times as frequent in it as in the language where it is
+    most frequent. Languages go by how many n-grams were seen, then by name: ties in ``predict`` go to
+    the first. Without labelled text the filter has no language, and every text is ``und``. More than
+    ``languages`` of them are an error: the sample and the filter are sized by them.
+
+    No language is sorted in one task: the sample's smallest hashes are found in ``salts`` parts first,
+    the n-grams' cut-off from the numbers of n-grams by frequency.
     """
     arrow_batches(docs.sparkSession)
     ok = F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
-    chosen = docs.filter(ok).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).withColumn("rank", rank).filter(F.col("rank") <= per_language)
-    sample = docs.filter(ok).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"], "left_semi")
-    counts = sample.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    frequent = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= grams)
-    got = frequent.select("lang", "gram", "n").toPandas()  # languages times grams at most
+    labelled = docs.filter(ok).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
+    names = labelled.select("lang").distinct().limit(languages + 1).collect()
+    if len(names) > languages:
+        raise ValueError(f"{lang_col} has more than {languages} values")
+    keyed = labelled.select("lang", "id", F.xxhash64(F.lit(seed), "id").alias("h"))
+    first = Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy("h", "id")
+    chosen = keyed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language)
+    chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("rank") <= per_language)
+    sample = labelled.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"], "left_semi")
+    counts = cut(sample.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    levels = counts.groupBy("lang", "n").agg(F.count("*").alias("grams")).withColumn("sum", F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
+    least = levels.filter(F.col("sum") <= grams).groupBy("lang").agg(F.min("n").alias("least")).withColumnRenamed("lang", "l")
+    got = counts.join(F.broadcast(least), F.col("lang") == F.col("l")).filter("n >= least").select("lang", "gram", "n").toPandas()  # languages times grams at most
     if got.empty:
         return LanguageFilter.build([], {})
     got["f"] = got["n"] / got.groupby("lang")["n"].transform("sum")
