@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, in_order, small
 
 #: Words are runs of what is neither a space nor one of the five control characters from tab to return.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -122,17 +122,20 @@ def assign_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the mix takes at least once, with ``copies``; options as in ``assign_copies``.
 
-    Rows with equal ids, texts and sources are told apart by their ordinal, so each has its own copies.
+    Rows with equal ids, texts and sources are told apart by their ordinal ``in_order``, so each has its own
+    copies; without such rows no ordinal is computed, and texts are shuffled once, in the join with their copies.
     """
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    same = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
-    taken = assign_copies(docs, **options).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("copies").alias("_copies"))
-    taken = taken.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.desc("_copies"))))
-    taken = taken.filter("_copies > 0").select(F.col("_id").alias("_id2"), F.col("_key").alias("_key2"), F.col("_n").alias("_n2"), "_copies")
+    docs = docs.drop("copies")
+    taken = cut(assign_copies(docs, **options).select(F.col("doc_id").alias("id2"), F.col("key").alias("key2"), "copies"))
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(source_col), F.lit("")))
-    rows = docs.drop("copies").withColumns({"_id": F.col(id_col), "_key": key}).withColumn("_n", F.row_number().over(same))
-    out = rows.join(taken, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_key") == F.col("_key2")) & (F.col("_n") == F.col("_n2")))
-    return out.select(*docs.drop("copies").columns, F.col("_copies").alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), key.alias("key"))
+    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2"))
+    if not taken.groupBy("id2", "key2").count().filter("count > 1").isEmpty():
+        taken = taken.withColumn("n2", F.row_number().over(Window.partitionBy("id2", "key2").orderBy(F.desc("copies"))))
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy(*in_order(docs, "row."))))
+        same &= F.col("n") == F.col("n2")
+    return rows.join(small(taken.filter("copies > 0")), same).select("row.*", "copies")
 
 
 __all__ = ["assign_copies", "mix", "source_targets", "words"]
