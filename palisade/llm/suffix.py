@@ -16,8 +16,11 @@ from .resample import _INVERSE, _MULTIPLIER, _VALUES, powers
 #: Bytes of a repeated string, and of the anchors inside it.
 LENGTH, ANCHOR = 100, 50
 _SIDE = LENGTH - ANCHOR
-#: Contexts of one anchor that are ranked in one task; beyond, each window is a key of its own.
+#: Contexts of one anchor that go into one suffix array; the suffixes of a larger group are dealt by the hash of their
+#: first ``LENGTH`` bytes over many arrays: equal ones meet all the same.
 GROUP = 16_000
+#: Suffixes that a task gathers before it sends them on, and that make one array.
+SUFFIXES = 400_000
 #: Anchors that a task gathers before it sends them on, and contexts.
 FLUSH, FLUSH_CONTEXTS = 1_000_000, 100_000
 _ABSENT = -(1 << 63)
@@ -146,33 +149,47 @@ def _find_anchors(buckets: int):
 _MARKS = "id long, key long, kind int, pos long, size int, hash int"
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of whole buckets: kind 0 is a span to remove; kind 1 an anchor whose contexts must be compared, as
-    others have the same anchor in other contexts; kind 2 the same, of an anchor with very many contexts."""
-    buckets: dict[int, list[bytes]] = {}
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """The rows of each bucket, without the bucket; rows come sorted by it, so one bucket is held at a time."""
+    held, last = [], None
     for batch in batches:
-        for bucket, spans, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            if spans:
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != last and held:
+                yield last, held
+                held = []
+            last = bucket
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _judge(group: int):
+    """Marks of whole buckets: kind 0 is a span to remove; kind 1 an anchor whose contexts must be compared, as
+    others have the same anchor in other contexts; kind 2 the same, of an anchor with more than ``group`` contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _by_bucket(batches):
+            for blob in (blob for spans, blob in held if spans):
                 x = _unpack(blob, **_ANCHORS)
                 yield _marks(x["ids"][x["text"]], x["keys"][x["text"]], 0, x["pos"] - x["left"], x["size"], x["hash"])
-            else:
-                buckets.setdefault(bucket, []).append(blob)
-    while buckets:
-        _, blobs = buckets.popitem()
-        parts = [_unpack(b, **_ANCHORS) for b in blobs]
-        ids, keys = (np.concatenate([x[c][x["text"]] for x in parts]) for c in ("ids", "keys"))
-        hashed, context, pos, left, size = (np.concatenate([x[c] for x in parts]) for c in ("hash", "context", "pos", "left", "size"))
-        order = np.lexsort((pos, keys, ids, context, hashed))
-        ids, keys, hashed, context, pos, left, size = (a[order] for a in (ids, keys, hashed, context, pos, left, size))
-        new_hash = np.concatenate([[True], hashed[1:] != hashed[:-1]])
-        new = new_hash | np.concatenate([[True], context[1:] != context[:-1]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        twin = ~new & (ids == ids[first]) & (keys == keys[first]) & (pos == pos[first])
-        gone = ~new & ~twin
-        yield _marks(ids[gone], keys[gone], 0, pos[gone] - left[gone], size[gone], hashed[gone])
-        classes = np.bincount(np.cumsum(new_hash) - 1, weights=new)[np.cumsum(new_hash) - 1]
-        for kind, chosen in ((1, new & (classes > 1) & (classes <= GROUP)), (2, new & (classes > GROUP))):
-            yield _marks(ids[chosen], keys[chosen], kind, pos[chosen], size[chosen], hashed[chosen])
+            parts = [_unpack(blob, **_ANCHORS) for spans, blob in held if not spans]
+            if not parts:
+                continue
+            ids, keys = (np.concatenate([x[c][x["text"]] for x in parts]) for c in ("ids", "keys"))
+            hashed, context, pos, left, size = (np.concatenate([x[c] for x in parts]) for c in ("hash", "context", "pos", "left", "size"))
+            order = np.lexsort((pos, keys, ids, context, hashed))
+            ids, keys, hashed, context, pos, left, size = (a[order] for a in (ids, keys, hashed, context, pos, left, size))
+            new_hash = np.concatenate([[True], hashed[1:] != hashed[:-1]])
+            new = new_hash | np.concatenate([[True], context[1:] != context[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            twin = ~new & (ids == ids[first]) & (keys == keys[first]) & (pos == pos[first])
+            gone = ~new & ~twin
+            yield _marks(ids[gone], keys[gone], 0, pos[gone] - left[gone], size[gone], hashed[gone])
+            classes = np.bincount(np.cumsum(new_hash) - 1, weights=new)[np.cumsum(new_hash) - 1]
+            for kind, chosen in ((1, new & (classes > 1) & (classes <= group)), (2, new & (classes > group))):
+                yield _marks(ids[chosen], keys[chosen], kind, pos[chosen], size[chosen], hashed[chosen])
+
+    return run
 
 
 def _marks(ids, keys, kind, pos, size, hashed) -> pa.RecordBatch:
@@ -231,59 +248,100 @@ def _ranks(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1].reshape(values.shape)
 
 
-def longest_previous_factors(rows: np.ndarray, valid: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor of each suffix reaches ``LENGTH`` bytes.
+def _toward_smaller(place: np.ndarray, lcp: np.ndarray, most: int) -> np.ndarray:
+    """Length that each suffix has in common with the nearest one before it, in suffix order, at a smaller place.
 
-    ``rows``: contexts, one a row; the suffixes start at the first columns. ``valid``: whether a
-    suffix has all its bytes; ``position``: rank of its place in the corpus. The suffix array comes
-    from prefix doubling to ``LENGTH`` bytes. Suffixes equal so far are put in corpus order, so that
-    the previous smaller position of each is what stands before it; no next one is smaller. The factor
-    reaches the length if the first of its equals is at a smaller position: a place that two contexts
-    share is no copy of itself.
+    ``lcp[i]`` is what suffixes i - 1 and i have in common; ``most`` bounds the suffixes in a row with a
+    positive one. Minima over runs of 1, 2, 4, ... suffixes let all walks jump at once.
+    """
+    least, shared = [place], [lcp]
+    while 1 << len(least) <= most:
+        step = 1 << (len(least) - 1)
+        least.append(np.concatenate([least[-1][:step], np.minimum(least[-1][step:], least[-1][:-step])]))
+        shared.append(np.concatenate([shared[-1][:step], np.minimum(shared[-1][step:], shared[-1][:-step])]))
+    at, length = np.arange(len(place)) - 1, lcp.copy()
+    for level in range(len(least) - 1, -1, -1):
+        walk = np.flatnonzero((at >= (1 << level) - 1) & (length > 0))
+        walk = walk[least[level][at[walk]] > place[walk]]
+        length[walk] = np.minimum(length[walk], shared[level][at[walk]])
+        at[walk] -= 1 << level
+    length[at < 0] = 0
+    return length
+
+
+def longest_previous_factors(rows: np.ndarray, valid: np.ndarray, place: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array of suffixes, lengths up to ``LENGTH``: how much of each also starts at a smaller place.
+
+    ``rows``: contexts, one a row; suffixes start at its first columns, as many as ``valid`` has, which tells those
+    that have all their bytes. ``place``: where each starts in the corpus; ``group``: each row's
+    anchor; suffixes of different ones are in different arrays. The suffix array comes from prefix
+    doubling to ``LENGTH`` bytes, equal suffixes in the order of places; common lengths of neighbours
+    are read off their bytes. The previous and next suffixes in this order with a smaller place have
+    the longest factors, and the longer one counts. Among equal suffixes the previous one is such a place;
+    the first of them has its own in other suffixes. A place that two contexts share is no copy of itself.
     """
+    row, column = np.nonzero(valid)
+    if not len(row):
+        return np.zeros(valid.shape, np.uint8)
     wide = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(rows, 8, axis=1)).view(">u8")[:, :, 0]
-    rank, size = _ranks(wide), 8
+    rank, size = _ranks(wide).astype(np.int64), 8
     while size < LENGTH:
         step = min(size, LENGTH - size)
-        rank = rank.astype(np.int64)
-        rank = _ranks(rank[:, : rank.shape[1] - step] * (int(rank.max()) + 1) + rank[:, step:])
+        rank = _ranks(rank[:, : rank.shape[1] - step] * (int(rank.max()) + 1) + rank[:, step:]).astype(np.int64)
         size += step
-    rank, place, ok = rank.ravel(), position.ravel(), np.flatnonzero(valid.ravel())
-    order = ok[np.lexsort((place[ok], rank[ok]))]
-    new = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-    smallest = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    reached = np.zeros(len(rank), bool)
-    reached[order] = place[smallest] < place[order]
-    return reached.reshape(valid.shape)
+    rank, place = rank[row, column], place[row, column]
+    order = np.lexsort((place, rank, group[row]))
+    own, rank, place = group[row][order], rank[order], place[order]
+    new_group = np.concatenate([[True], own[1:] != own[:-1]])
+    new = new_group | np.concatenate([[True], rank[1:] != rank[:-1]])
+    again = ~new & np.concatenate([[False], place[1:] == place[:-1]])  # the same place in another context
+    heads = np.flatnonzero(new)
+    # Common lengths of neighbouring classes of equal suffixes, by their bytes.
+    views = np.lib.stride_tricks.sliding_window_view(rows, LENGTH, axis=1)
+    lcp = np.zeros(len(heads), np.uint8)
+    linked = np.flatnonzero(~new_group[heads])
+    for a in range(0, len(linked), 50_000):
+        part = linked[a : a + 50_000]
+        x, y = order[heads[part]], order[heads[part - 1]]
+        lcp[part] = (views[row[x], column[x]] != views[row[y], column[y]]).argmax(axis=1)
+    most = int(np.bincount(np.cumsum(new_group[heads]) - 1).max())
+    before = _toward_smaller(place[heads], lcp, most)
+    after = _toward_smaller(place[heads][::-1], np.concatenate([[0], lcp[:0:-1]]).astype(np.uint8), most)[::-1]
+    factor = np.full(len(order), LENGTH, np.uint8)
+    factor[heads] = np.maximum(before, after)
+    # What repeats the place before it has the factor of the first of them.
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+    out = np.zeros(valid.shape, np.uint8)
+    out[row[order], column[order]] = factor[first]
+    return out
+
+
+def _places_in_order(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Numbers of the texts, by (id, key), far enough apart for places in them."""
+    order = np.lexsort((keys, ids))
+    change = np.concatenate([[False], (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])])
+    text = np.empty(len(ids), np.int64)
+    text[order] = np.cumsum(change)
+    return text << 40
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of the windows in the contexts of whole buckets that occur earlier."""
-    buckets: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for bucket, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            buckets.setdefault(bucket, []).append(blob)
-    while buckets:
-        _, blobs = buckets.popitem()
-        parts = [_unpack(b, **_CONTEXTS) for b in blobs]
+    for _, held in _by_bucket(batches):
+        parts = [_unpack(blob, **_CONTEXTS) for (blob,) in held]
         hashed, ids, keys, pos, left, right = (np.concatenate([x[c] for x in parts]) for c in list(_CONTEXTS)[:6])
         rows = np.concatenate([x["bytes"].reshape(-1, _WIDTH) for x in parts])
         order = np.lexsort((pos, keys, ids, hashed))
         edges = np.concatenate([np.flatnonzero(np.diff(hashed[order].astype(np.int64), prepend=-1)), [len(order)]])
         start = 0
-        while start < len(edges) - 1:  # as many whole groups as make one array of a bounded size
-            end = max(start + 1, int(np.searchsorted(edges, edges[start] + GROUP, "right")) - 1)
+        while start < len(edges) - 1:  # as many whole groups as make arrays of a bounded size
+            end = max(start + 1, int(np.searchsorted(edges, edges[start] + SUFFIXES // (_SIDE + 1), "right")) - 1)
             own = order[edges[start] : edges[end]]
             start = end
             places = pos[own][:, None] - _SIDE + np.arange(_SIDE + 1)
             valid = (np.arange(_SIDE + 1) >= _SIDE - left[own].astype(int)[:, None]) & (LENGTH - _SIDE + np.arange(_SIDE + 1) <= right[own].astype(int)[:, None])
-            # A rank of (id, key, place): rows of the group are in the order of texts.
-            by_text = np.lexsort((keys[own], ids[own]))
-            change = np.concatenate([[False], (ids[own][by_text][1:] != ids[own][by_text][:-1]) | (keys[own][by_text][1:] != keys[own][by_text][:-1])])
-            text = np.empty(len(own), np.int64)
-            text[by_text] = np.cumsum(change)
-            reached = longest_previous_factors(rows[own], valid, text[:, None] * (1 << 40) + places)
-            yield from _runs(ids[own], keys[own], places, reached)
+            factors = longest_previous_factors(rows[own], valid, _places_in_order(ids[own], keys[own])[:, None] + places, hashed[own])
+            yield from _runs(ids[own], keys[own], places, factors >= LENGTH)
 
 
 def _runs(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, reached: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -295,23 +353,99 @@ def _runs(ids: np.ndarray, keys: np.ndarray, places: np.ndarray, reached: np.nda
         yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys[row]), pa.array(places[row, first]), pa.array((last - first - 1 + LENGTH).astype(np.int32))], ["id", "key", "pos", "size"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each window of the anchors' contexts, with its place."""
-    for batch in portions(batches, "text", 1 << 20):
-        at, data = octets(batch.column(2))
-        lists = batch.column(3)
-        offsets, flat = lists.offsets.to_numpy(), lists.values.field(0).to_numpy()
-        for i, (id_, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            own = data[at[i] : at[i + 1]]
-            places = np.unique((flat[offsets[i] : offsets[i + 1]][:, None] - np.arange(_SIDE + 1)).ravel())
-            places = places[(places >= 0) & (places + LENGTH <= len(own))]
-            hashes = []
-            for salt in (0, 1):
-                sums = np.zeros(len(own) + 1, np.uint64)
-                np.cumsum(_mix(_VALUES + np.uint64(salt))[own] * powers(_MULTIPLIER, len(own)), out=sums[1:])
-                hashes.append(_mix((sums[places + LENGTH] - sums[places]) * powers(_INVERSE, len(own) + 1)[places]).view(np.int64))
-            n = len(places)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[0]), pa.array(hashes[1]), pa.array(np.full(n, id_)), pa.array(np.full(n, key)), pa.array(places)], ["w1", "w2", "id", "key", "pos"])
+_SUFFIXES = {"sure": np.bool_, "ids": np.int64, "keys": np.int64, "pos": np.int64, "bytes": np.uint8}
+
+
+def _row_hashes(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row's ``LENGTH`` bytes."""
+    wide = np.zeros((len(rows), -(-LENGTH // 8) * 8), np.uint8)
+    wide[:, :LENGTH] = rows
+    out = np.zeros(len(rows), np.uint64)
+    for word in wide.view(np.uint64).T:
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + word)
+    return out
+
+
+def _send_suffixes(buckets: int, most: int):
+    """Rows ``(bucket, blob)``: the suffixes of large groups, dealt by the hash of their first bytes.
+
+    Those with an earlier copy in the same task are repeats for sure and travel without their bytes, dealt out
+    evenly; so a passage that a third of all texts share meets the task of its bucket once per sending.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        count = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal held, count
+            ids, keys, pos, rows = (np.concatenate([h[i] for h in held]) for i in range(4))
+            held, count = [], 0
+            where = _row_hashes(rows)
+            sure = _repeated(ids, keys, pos, rows, where) >= LENGTH
+            where = np.where(sure, np.arange(len(sure)).astype(np.uint64) * np.uint64(16) // np.uint64(max(len(sure), 1)), where) % np.uint64(buckets)
+            by = np.lexsort((pos, keys, ids, sure, where))
+            cuts = np.flatnonzero(np.diff(where[by].astype(np.int64), prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)]):
+                own = by[a:b]
+                blob = _pack(sure=sure[own], ids=ids[own], keys=keys[own], pos=pos[own], bytes=rows[own[~sure[own]]])
+                yield pa.RecordBatch.from_arrays([pa.array([int(where[own[0]])], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+
+        for batch in portions(batches, "text", 1 << 20):
+            at, data = octets(batch.column(2))
+            lists = batch.column(3)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.field(0).to_numpy()
+            for i, (id_, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                text = data[at[i] : at[i + 1]]
+                places = np.unique((flat[offsets[i] : offsets[i + 1]][:, None] - np.arange(_SIDE + 1)).ravel())
+                places = places[(places >= 0) & (places + LENGTH <= len(text))]
+                for a in range(0, len(places), most):
+                    part = places[a : a + most]
+                    held.append((np.full(len(part), id_), np.full(len(part), key), part, text[part[:, None] + np.arange(LENGTH)]))
+                    count += len(part)
+                    if count >= most:
+                        yield from send()
+        if held:
+            yield from send()
+
+    return run
+
+
+def _repeated(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray, rows: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Longest previous factors of single suffixes; suffixes of one hash are one group."""
+    return longest_previous_factors(rows, np.ones((len(rows), 1), bool), (_places_in_order(ids, keys) + pos)[:, None], hashed)[:, 0]
+
+
+def _compare_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the dealt suffixes that occur earlier."""
+    for _, held in _by_bucket(batches):
+        parts = [_unpack(blob, **_SUFFIXES) for (blob,) in held]
+        for x in parts:
+            yield from _joined(x["ids"][x["sure"]], x["keys"][x["sure"]], x["pos"][x["sure"]])
+        ids, keys, pos = (np.concatenate([x[c][~x["sure"]] for x in parts]) for c in ("ids", "keys", "pos"))
+        rows = np.concatenate([x["bytes"].reshape(-1, LENGTH) for x in parts])
+        hashed = _row_hashes(rows)
+        order = np.argsort(hashed, kind="stable")
+        edges = np.concatenate([np.flatnonzero(np.concatenate([[True], hashed[order][1:] != hashed[order][:-1]])) if len(order) else np.zeros(0, np.int64), [len(order)]])
+        start, gone = 0, np.zeros(len(order), bool)
+        while start < len(edges) - 1:
+            end = max(start + 1, int(np.searchsorted(edges, edges[start] + SUFFIXES, "right")) - 1)
+            own = order[edges[start] : edges[end]]
+            gone[own] = _repeated(ids[own], keys[own], pos[own], rows[own], hashed[own]) >= LENGTH
+            start = end
+        yield from _joined(ids[gone], keys[gone], pos[gone])
+
+
+def _joined(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Spans of windows at places next to each other, joined."""
+    if not len(ids):
+        return
+    order = np.lexsort((pos, keys, ids))
+    ids, keys, pos = ids[order], keys[order], pos[order]
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (pos[1:] > pos[:-1] + 1)])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(ids)) - 1
+    yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(keys[first]), pa.array(pos[first]), pa.array((pos[last] - pos[first] + LENGTH).astype(np.int32))], ["id", "key", "pos", "size"])
 
 
 def _of_documents(rows: DataFrame, marks: DataFrame, what: list[str]) -> DataFrame:
@@ -320,29 +454,42 @@ def _of_documents(rows: DataFrame, marks: DataFrame, what: list[str]) -> DataFra
     return rows.join(own.hint("shuffle_hash"), (F.col("id") == F.col("m_id")) & (F.col("key") == F.col("m_key"))).select("id", "key", "text", "marks")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(rows, spans)``: the documents as ``id, key, text``, and ``id, key, pos, size`` of bytes to remove, possibly overlapping."""
+def _numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with whole numbers in the order of their ids as ``_number``, null before all; and ``id, number`` if ids aren't whole numbers themselves.
+
+    Such ids are ranked in ranges, each from where the one before it ends; no task sees all.
+    """
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        return docs.withColumn("_number", F.coalesce(F.col(id_col).cast("long"), F.lit(_ABSENT))), None
+    ids = cut(docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    before = ids.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("id"))
+    numbers = cut(ids.join(F.broadcast(before.select("part", "before")), "part").select("id", (own + F.col("before")).alias("number")))  # a row for each shuffle partition
+    met = docs.join(numbers.select(F.col("id").alias("_i"), F.col("number").alias("_m")), F.col(id_col) == F.col("_i"), "left")
+    return met.withColumn("_number", F.coalesce(F.col("_m").cast("long"), F.lit(_ABSENT))).drop("_i", "_m"), numbers
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """``(rows, spans)``: the documents as ``id, key, text``, and ``id, key, pos, size`` of bytes to remove, possibly overlapping. Ids are whole numbers."""
     spark = docs.sparkSession
     arrow_batches(spark, 1000)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_ABSENT)).alias("id"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = 4 * partitions
+    met = lambda df: df.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     found = rows.filter(F.octet_length("text") >= LENGTH).mapInArrow(_find_anchors(buckets), "bucket int, spans boolean, blob binary")
-    marks = cut(found.repartition(partitions, "bucket").mapInArrow(_judge, _MARKS))
+    marks = cut(met(found).mapInArrow(_judge(group), _MARKS))
     spans = marks.filter("kind = 0").select("id", "key", "pos", "size")
     contexts = _of_documents(rows, marks.filter("kind = 1"), ["pos", "hash"]).mapInArrow(_send_contexts(buckets), "bucket int, blob binary")
-    spans = spans.unionByName(contexts.repartition(partitions, "bucket").mapInArrow(_compare, "id long, key long, pos long, size int"))
+    spans = spans.unionByName(met(contexts).mapInArrow(_compare, "id long, key long, pos long, size int"))
     very_many = marks.filter("kind = 2")
     if not very_many.isEmpty():
-        windows = _of_documents(rows, very_many, ["pos"]).mapInArrow(_windows, "w1 long, w2 long, id long, key long, pos long")
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "key", "pos")).alias("first"), F.max(F.struct("id", "key", "pos")).alias("last")).filter("first != last")
-        first = first.select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first")
-        later = windows.join(first, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).filter(F.struct("id", "key", "pos") > F.col("first"))
-        spans = spans.unionByName(later.select("id", "key", "pos", F.lit(LENGTH).alias("size")))
+        suffixes = _of_documents(rows, very_many, ["pos"]).mapInArrow(_send_suffixes(buckets, SUFFIXES), "bucket int, blob binary")
+        spans = spans.unionByName(met(suffixes).mapInArrow(_compare_suffixes, "id long, key long, pos long, size int"))
     return rows, spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes).
 
     A byte goes if some string of 100 bytes that covers it also starts earlier: in a document of
@@ -350,16 +497,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Equal windows of 100 bytes have equal anchors (strings of 50 bytes, least hash in the window), so
     windows meet in the bucket of an anchor's hash. Anchors in equal contexts (all bytes that
-    windows around the anchor can have, by a 64-bit hash) are copies. Where an anchor stands in
-    several contexts, the first of each is fetched and all its windows go into a suffix array, whose
-    longest-previous-factor array tells which have an earlier copy. Anchors with more than ``GROUP``
-    contexts have each window keyed by two hashes instead, and compared with its first place.
+    windows around the anchor can have, by a 64-bit hash beside the anchor's own) are copies. Where an
+    anchor stands in several contexts, the first of each is fetched and its windows go, as bytes, into a suffix
+    array, whose longest-previous-factor array tells which have an earlier copy. Groups of more than
+    ``group`` contexts are split: each suffix goes to the array of its first 100 bytes' hash.
 
-    Null text is empty and nothing is removed; a null id comes before all others (the smallest long
-    stands for it). Rows of equal id and text: the first keeps what one row would, the others lose
+    Null text is empty and nothing is removed; a null id comes before all others. Ids may be of any type that
+    has an order. Rows of equal id and text: the first keeps what one row would, the others lose
     everything from 100 bytes on. Equal ids with other texts go by the texts' hash.
     """
-    rows, spans = repeated_spans(docs, id_col, text_col)
+    docs, numbers = _numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id")
+    id_col, text_col = "_number", "_text"
+    rows, spans = repeated_spans(docs, id_col, text_col, group)
     own = spans.groupBy("id", "key").agg(F.collect_list(F.struct("pos", "size")).alias("marks")).select(F.col("id").alias("m_id"), F.col("key").alias("m_key"), "marks")
     met = rows.join(own.hint("shuffle_hash"), (F.col("id") == F.col("m_id")) & (F.col("key") == F.col("m_key")), "left").select("id", "key", "text", "marks")
     again = rows.groupBy("id", "key").count().filter("count > 1").isEmpty()
@@ -390,4 +539,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     done = met.select("id", "text", "marks", "copy").mapInArrow(run, schema)
-    return done.select(F.nullif("id", F.lit(_ABSENT)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    if numbers is None:
+        return done.select(F.nullif("id", F.lit(_ABSENT)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    named = numbers.select(F.col("id").alias("doc_id"), F.col("number").alias("m"))
+    return done.join(named, F.col("id") == F.col("m"), "left").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ def brute(rows, length=100):
     return out
 
 
-def result(df):
-    return sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(df).collect()], key=str)
+def result(df, **options):
+    return sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(df, **options).collect()], key=str)
 
 
 def ordered(spark, rows):
@@ -45,27 +46,48 @@ def test_other_partitions_and_fallback(spark, docs, rows, monkeypatch):
     assert result(docs.repartition(2)) == expect
 
 
-def test_anchors_with_very_many_contexts(spark):
+def test_groups_beyond_the_limit_are_split(spark, docs, rows, monkeypatch):
+    """Every anchor with more than one context goes the way of the large groups; results are the same."""
     passage = "a passage of the same words that stands in many documents, each time between other words of its own, " * 2
-    rows = [(i, f"{i * 7919} before {i} " + passage + f" after {i} {i * 104729} " * 9) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    expect = sorted(brute(rows), key=str)
-    assert result(df) == expect
-    limit = suffix.GROUP
-    rows_, spans = suffix.repeated_spans(df)
-    assert limit == 16_000 and spans.count() > 0 and rows_.count() == 40
-
-
-def test_windows_by_hash(spark):
-    """The way beyond ``GROUP`` contexts, on its own: windows around given anchors."""
-    df = spark.createDataFrame([(0, 1, "x" * 20 + "abc" * 60, [(30, 0)])], "id long, key long, text string, marks array<struct<pos:long,hash:int>>")
-    got = df.mapInArrow(suffix._windows, "w1 long, w2 long, id long, key long, pos long").collect()
-    assert [r.pos for r in got] == list(range(0, 31))
-    same = {}
-    text = "x" * 20 + "abc" * 60
-    for r in got:
-        same.setdefault((r.w1, r.w2), set()).add(text[r.pos : r.pos + 100])
-    assert all(len(v) == 1 for v in same.values()) and len(same) == len({text[r.pos : r.pos + 100] for r in got})
+    many = [(i, f"{i * 7919} before {i} " + passage + f" after {i} {i * 104729} " * 9) for i in range(40)] + [(40, passage + "\0" * 300), (41, "\0" * 150)]
+    df = spark.createDataFrame(many, "doc_id long, text string").repartition(6)
+    expect = sorted(brute(many), key=str)
+    assert result(df) == result(df, group=1) == expect
+    monkeypatch.setattr(suffix, "SUFFIXES", 100)
+    assert result(df, group=1) == expect
+    assert result(docs, group=1) == sorted(brute(ordered(spark, rows)), key=str)
+
+
+def test_string_ids(spark, rows):
+    named = [(None if r[0] is None else f"a{r[0]:05}", r[1]) for r in rows]
+    df = spark.createDataFrame(named, "doc_id string, text string")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    in_order = [tuple(r)[:2] for r in df.orderBy(F.asc_nulls_first("doc_id"), key).collect()]
+    assert result(df) == sorted(brute(in_order), key=str)
+
+
+def test_longest_previous_factors():
+    """Against all pairs: how much each suffix has in common with any one at a smaller place."""
+    rng = np.random.default_rng(3)
+    for letters, n in ((1, 12), (2, 20), (3, 30)):
+        rows = rng.integers(0, letters, (n, suffix._WIDTH)).astype(np.uint8) + 97
+        rows[n // 2 :] = rows[rng.integers(0, n // 2, n - n // 2)]
+        for r in range(n // 2, n):  # copies with one change
+            rows[r, rng.integers(0, suffix._WIDTH)] = 120
+        offsets = suffix._SIDE + 1
+        valid = rng.random((n, offsets)) < 0.8
+        group = rng.integers(0, 2, n)
+        place = (rng.permutation(n)[:, None] << 40) + np.arange(offsets)
+        place[1], rows[1], group[1] = place[0], rows[0], group[0]  # one context twice
+        got = suffix.longest_previous_factors(rows, valid, place, group)
+        for i, j in np.argwhere(valid)[:: 7]:
+            best = 0
+            for r in np.flatnonzero(group == group[i]):
+                for k in np.flatnonzero(valid[r] & (place[r] < place[i, j])):
+                    differ = rows[i, j : j + 100] != rows[r, k : k + 100]
+                    best = max(best, int(differ.argmax()) if differ.any() else 100)
+            assert got[i, j] == best
+        assert not got[~valid].any()
 
 
 @pytest.mark.parametrize("case", ["empty", "clashing"])
