@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .catalog import Pattern
-from .regex import any_of, count, extract, java, let, matches, positions
+from .regex import Guard, any_of, count, extract, guard, holds, java, let, matches, positions
 
 RISKS = ("low", "medium", "high", "critical")
 MATCHES = "array<struct<pattern:string,matched:string,position:int,category:string,severity:string>>"
@@ -43,27 +43,58 @@ def java_of(p: Pattern) -> str:
 
 def has_keyword(text: Column) -> Column:
     """Whether the lower-case text holds any of the filter's keywords."""
-    low = F.lower(text)
-    return any_of(F.contains(low, F.lit(k)) for k in catalog.KEYWORDS)
+    return let(F.lower(text), lambda low: any_of(holds(low, k) for k in catalog.KEYWORDS))
 
 
 def entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits; 0 for the empty text."""
-    size = F.length(text)
-    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: size - F.length(F.replace(text, c)))
-    bits = F.aggregate(F.filter(counts, lambda n: n > 0), F.lit(0.0), lambda a, n: a - (n / size) * F.log2(n / size))
-    return F.when(size > 0, bits).otherwise(0.0)
 
+    def bits(size: Column) -> Column:
+        # Each step takes the first character out of what is left, all of it, and counts what the step before took.
+        def step(x: Column, _: Column) -> Column:
+            first = F.substring(x["left"], 1, 1)
+            n = (x["before"] - F.octet_length(x["left"])) / x["width"] / size
+            return F.when(x["width"] == 0, x).otherwise(F.struct(F.replace(x["left"], first).alias("left"), F.octet_length(x["left"]).alias("before"), F.octet_length(first).alias("width"), (x["bits"] - n * F.log2(n)).alias("bits")))
 
-def nested_markers(text: Column) -> Column:
+        first = F.substring(text, 1, 1)
+        start = F.struct(F.replace(text, first).alias("left"), F.octet_length(text).alias("before"), F.octet_length(first).alias("width"), F.lit(0.0).alias("bits"))
+        # As many steps as the text can have characters: 128 if it is ASCII, or else its length.
+        steps = F.sequence(F.lit(0), F.when(size == F.octet_length(text), F.least(size, F.lit(128))).otherwise(size))
+        return F.aggregate(steps, start, step, lambda x: x["bits"])
+
+    return F.when(F.octet_length(text) > 0, let(F.length(text), bits)).otherwise(0.0)
+
+
+_STRUCTURE = (catalog.NESTED_TAG, catalog.ROLE_WORD, catalog.NESTED_BRACKETS, catalog.MANY_NEWLINES, catalog.HEADING, catalog.SEPARATOR_LINE)
+
+
+def _guard(patterns: Sequence[Pattern]) -> Guard:
+    return guard((*(p.regex for p in patterns), *_STRUCTURE))
+
+
+def _nested(text: Column, found: Column, g: Guard) -> Column:
     tag, word = java(catalog.NESTED_TAG), java(catalog.ROLE_WORD)
-    tags = extract(text, java(catalog.ANY_TAG, any_case=False))
-    crowded = (F.size(tags) > 4) & F.exists(tags, lambda t: matches(t, word))
-    return (count(text, tag) >= 2) | crowded | matches(text, java(catalog.NESTED_BRACKETS))
+    crowded = lambda tags: (F.size(tags) > 4) & F.exists(tags, lambda t: matches(t, word))
+    tagged = (g.might(found, catalog.NESTED_TAG) & (count(text, tag) >= 2)) | (g.might(found, catalog.ROLE_WORD) & let(extract(text, java(catalog.ANY_TAG, any_case=False)), crowded))
+    return (F.contains(text, F.lit("<")) & tagged) | (g.might(found, catalog.NESTED_BRACKETS) & F.contains(text, F.lit("[[")) & matches(text, java(catalog.NESTED_BRACKETS)))
+
+
+def _formatted(text: Column, found: Column, g: Guard) -> Column:
+    ways = ((catalog.MANY_NEWLINES, False, "\n\n\n"), (catalog.HEADING, True, "#"), (catalog.SEPARATOR_LINE, False, "\n"))
+    return any_of(g.might(found, p) & F.contains(text, F.lit(sign)) & matches(text, java(p, lines=lines)) for p, lines, sign in ways)
+
+
+def _beside_literals(text: Column, g: Guard, use) -> Column:
+    """``use(text, found)`` with both computed once."""
+    return let(F.struct(text.alias("t"), g.found(text).alias("found")), lambda x: use(x["t"], x["found"]))
+
+
+def nested_markers(text: Column) -> Column:
+    return _beside_literals(text, _guard(()), lambda t, found: _nested(t, found, _guard(())))
 
 
 def suspicious_formatting(text: Column) -> Column:
-    return matches(text, java(catalog.MANY_NEWLINES)) | matches(text, java(catalog.HEADING, lines=True)) | matches(text, java(catalog.SEPARATOR_LINE))
+    return _beside_literals(text, _guard(()), lambda t, found: _formatted(t, found, _guard(())))
 
 
 def structural_flags(text: Column, original: Column, d: Detector = Detector()) -> Column:
@@ -72,34 +103,53 @@ def structural_flags(text: Column, original: Column, d: Detector = Detector()) -
     def flag(kind: str, details: Column, severity: str, when: Column) -> Column:
         return F.when(when, F.struct(F.lit(kind).alias("type"), details.alias("details"), F.lit(severity).alias("severity")))
 
-    size, bits = F.length(original), entropy(text)
-    found = F.array(
-        flag("excessive_length", F.concat(F.lit("Length "), size.cast("string"), F.lit(f" is above {d.max_field_length}")), "medium", size > d.max_field_length),
-        flag("high_entropy", F.concat(F.lit("Entropy "), F.format_number(bits, 2), F.lit(f" is above {d.entropy_threshold}")), "medium", (F.length(text) >= d.entropy_min_length) & (bits > d.entropy_threshold)),
-        flag("nested_markers", F.lit("Nested tags or brackets name roles"), "medium", nested_markers(text)),
-        flag("suspicious_formatting", F.lit("Formatting sets a command apart"), "low", suspicious_formatting(text)),
-    )
-    return F.filter(found, lambda f: f.isNotNull())
+    def found(x: Column) -> Column:
+        return F.array(
+            flag("excessive_length", F.concat(F.lit("Length "), x["size"].cast("string"), F.lit(f" is above {d.max_field_length}")), "medium", x["size"] > d.max_field_length),
+            flag("high_entropy", F.concat(F.lit("Entropy "), F.format_number(x["bits"], 2), F.lit(f" is above {d.entropy_threshold}")), "medium", x["bits"] > d.entropy_threshold),
+            flag("nested_markers", F.lit("Nested tags or brackets name roles"), "medium", x["nested"]),
+            flag("suspicious_formatting", F.lit("Formatting sets a command apart"), "low", x["formatted"]),
+        )
+
+    g = _guard(())
+    structure = _beside_literals(text, g, lambda t, literals: _structure(t, literals, g, F.length(original), d))
+    return F.filter(let(structure, found), lambda f: f.isNotNull())
+
+
+def _structure(text: Column, found: Column, g: Guard, size: Column, d: Detector) -> Column:
+    """``size, bits`` (0 below the least length), ``nested, formatted``."""
+    bits = F.when(F.length(text) >= d.entropy_min_length, entropy(text)).otherwise(0.0)
+    return F.struct(size.alias("size"), bits.alias("bits"), _nested(text, found, g).alias("nested"), _formatted(text, found, g).alias("formatted"))
 
 
 def pattern_counts(text: Column, patterns: Sequence[Pattern]) -> Column:
     """``array<int>`` with the number of matches of each pattern, in order."""
-    return F.array(*(count(text, java_of(p)) for p in patterns))
+    g = _guard(patterns)
+    return _beside_literals(text, g, lambda t, found: _counts(t, found, g, patterns))
+
+
+def _counts(text: Column, found: Column, g: Guard, patterns: Sequence[Pattern]) -> Column:
+    return F.array(*(F.when(g.might(found, p.regex), count(text, java_of(p))).otherwise(0) for p in patterns))
 
 
 def pattern_matches(text: Column, patterns: Sequence[Pattern]) -> Column:
     """All matches of all patterns, by pattern, then position."""
+    g = _guard(patterns)
 
-    def of(p: Pattern) -> Column:
-        at, found = positions(text, java_of(p)), extract(text, java_of(p))
+    def of(t: Column, literals: Column, p: Pattern) -> Column:
+        at, found = positions(t, java_of(p)), extract(t, java_of(p))
         rows = F.transform(found, lambda x, i: F.struct(F.lit(p.id).alias("pattern"), x.alias("matched"), F.get(at, i).alias("position"), F.lit(p.category).alias("category"), F.lit(p.severity).alias("severity")))
-        return F.when(matches(text, java_of(p)), rows).otherwise(F.array().cast(MATCHES))
+        return F.when(g.might(literals, p.regex) & matches(t, java_of(p)), rows).otherwise(F.array().cast(MATCHES))
+
+    return _beside_literals(text, g, lambda t, literals: F.flatten(F.array(*(of(t, literals, p) for p in patterns))))
 
-    return F.flatten(F.array(*map(of, patterns)))
+
+def _bounded(text: Column, d: Detector) -> Column:
+    return F.substring(text, 1, d.max_analysis_length) if d.max_analysis_length < 2**31 - 1 else text
 
 
 def _scanned(text: Column, d: Detector) -> tuple[Column, Column]:
-    bounded = F.substring(text, 1, d.max_analysis_length)
+    bounded = _bounded(text, d)
     use = has_keyword(bounded) if d.use_fast_filter and not d.custom else F.lit(True)
     return bounded, (F.length(text) >= 3) & use
 
@@ -119,26 +169,32 @@ def counts(text: Column, d: Detector = Detector()) -> Column:
     ``struct<high:int,medium:int,low:int,flags:int,rank:int,ids:array<string>>``; ids are those that
     match, one for each match, in catalog order.
     """
-    text = F.coalesce(text, F.lit(""))
-    bounded, scanned = _scanned(text, d)
-    per = F.when(scanned, pattern_counts(bounded, d.patterns)).otherwise(F.array().cast("array<int>"))
     of = {s: [i for i, p in enumerate(d.patterns) if p.severity == s] for s in ("high", "medium", "low")}
+    ids = F.array(*(F.lit(p.id) for p in d.patterns))
+    none = F.array().cast("array<int>")
 
-    def total(severity: str):
-        member = F.array(*(F.lit(int(i in of[severity])) for i in range(len(d.patterns))))
-        return lambda a: F.aggregate(F.zip_with(a, member, lambda n, m: F.coalesce(n, F.lit(0)) * m), F.lit(0), lambda x, y: x + y)
+    def total(per: Column, severity: str) -> Column:
+        return sum((F.get(per, F.lit(i)) for i in of[severity]), F.lit(0))
 
-    ids = F.array(*(F.lit(p.id) for p in d.patterns))
-    flags = F.when(F.length(text) >= 3, structural_flags(bounded, text, d)).otherwise(F.array().cast(FLAGS))
-    base = F.struct(per.alias("per"), flags.alias("flags"))
+    g = _guard(d.patterns)
 
-    def finish(x: Column) -> Column:
-        high, medium, low = (total(s)(x["per"]) for s in ("high", "medium", "low"))
-        medium_flags = F.size(F.filter(x["flags"], lambda f: f["severity"] == "medium"))
-        hit = F.flatten(F.zip_with(x["per"], F.slice(ids, F.lit(1), F.size(x["per"])), lambda n, i: F.array_repeat(i, n)))
-        return F.struct(high.alias("high"), medium.alias("medium"), low.alias("low"), F.size(x["flags"]).alias("flags"), rank_of(high, medium, medium_flags).alias("rank"), hit.alias("ids"))
+    def scan(x: Column) -> Column:
+        use = has_keyword(x["t"]) if d.use_fast_filter and not d.custom else F.lit(True)
+        per = F.when((x["size"] >= 3) & use, _counts(x["t"], x["found"], g, d.patterns)).otherwise(none)
+        return F.struct(per.alias("per"), F.when(x["size"] >= 3, _structure(x["t"], x["found"], g, x["size"], d)).alias("s"))
 
-    return let(base, finish)
+    def finish(x: Column) -> Column:
+        scanned = F.size(x["per"]) > 0
+        high, medium, low = (F.when(scanned, total(x["per"], s)).otherwise(0) for s in ("high", "medium", "low"))
+        yes = lambda c: F.when(c, 1).otherwise(0)
+        medium_flags = yes(x["s"]["size"] > d.max_field_length) + yes(x["s"]["bits"] > d.entropy_threshold) + yes(x["s"]["nested"])
+        hit = F.when(high + medium + low > 0, F.flatten(F.zip_with(x["per"], ids, lambda n, i: F.array_repeat(i, n)))).otherwise(F.array().cast("array<string>"))
+        return F.struct(high.alias("high"), medium.alias("medium"), low.alias("low"), (medium_flags + yes(x["s"]["formatted"])).alias("flags"), rank_of(high, medium, medium_flags).alias("rank"), hit.alias("ids"))
+
+    # Each of these is bound once: inside a lambda nothing else would share it.
+    text = F.coalesce(text, F.lit(""))
+    bound = let(F.struct(_bounded(text, d).alias("t"), F.length(text).alias("size")), lambda x: F.struct(x["t"].alias("t"), x["size"].alias("size"), g.found(x["t"]).alias("found")))
+    return let(let(bound, scan), finish)
 
 
 def analyze(text: Column, d: Detector = Detector()) -> Column:

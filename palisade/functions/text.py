@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from . import catalog
 from .catalog import Pattern
 from .detect import java_of
-from .regex import any_of, count, extract, java, matches, replace
+from .regex import could_make, count, extract, guard, java, matches, replace
 
 # Unicode
 
@@ -87,17 +87,18 @@ def chosen_patterns(high_severity_only: bool = False, categories: Sequence[str]
 def remove_patterns(text: Column, patterns: Sequence[Pattern] | None = None, replacement: str = "[REDACTED]", active=None) -> Column:
     """``struct<text,patterns_removed,replacement_count>``: each pattern in turn, on what the ones before left.
 
-    The steps are a fold over an array of one struct, so that each is computed once; texts without a
-    match of any pattern skip them. ``active(pattern)`` is a condition on the row for that pattern.
+    The steps are a fold over an array of one struct, so that each is computed once; a pattern is tried only on texts
+    that have the literals it needs. ``active(pattern)`` is a condition on the row for that pattern.
     """
     patterns = catalog.PATTERNS if patterns is None else patterns
-    start = F.array(F.struct(text.alias("t"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("ids")))
+    g = guard(tuple(p.regex for p in patterns))
+    start = F.array(F.struct(text.alias("t"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("ids"), g.found(text).alias("found")))
 
     def step(p: Pattern):
         def run(x: Column) -> Column:
-            n = count(x["t"], java_of(p))
-            gone = F.struct(replace(x["t"], java_of(p), replacement).alias("t"), (x["n"] + n).alias("n"), F.array_append(x["ids"], F.lit(p.id)).alias("ids"))
-            hit = matches(x["t"], java_of(p))
+            gone = F.struct(replace(x["t"], java_of(p), replacement).alias("t"), (x["n"] + count(x["t"], java_of(p))).alias("n"), F.array_append(x["ids"], F.lit(p.id)).alias("ids"), x["found"].alias("found"))
+            # The literals of the text as it came, unless a replacement could make new ones.
+            hit = (F.lit(True) if could_make(replacement, p.regex) else g.might(x["found"], p.regex)) & matches(x["t"], java_of(p))
             return F.when(hit if active is None else active(p) & hit, gone).otherwise(x)
 
         return run
@@ -105,9 +106,7 @@ def remove_patterns(text: Column, patterns: Sequence[Pattern] | None = None, rep
     out = start
     for p in patterns:
         out = F.transform(out, step(p))
-    # A replacement can't start a match that wasn't there unless something matched first.
-    hit = any_of(matches(text, java_of(p)) for p in patterns)
-    done = F.transform(F.when(hit, out).otherwise(start), lambda x: F.struct(x["t"].alias("text"), x["ids"].alias("patterns_removed"), x["n"].alias("replacement_count")))
+    done = F.transform(out, lambda x: F.struct(x["t"].alias("text"), x["ids"].alias("patterns_removed"), x["n"].alias("replacement_count")))
     return F.get(done, F.lit(0))
 
 

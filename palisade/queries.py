@@ -19,6 +19,7 @@ from .operators import tier2
 from .operators.sfe import NamePredictor, sfe_filter
 from .plans.defense import defend, tier1
 from .snippets import SNIPPETS
+from .sources.tables import spread
 
 K = len(SNIPPETS)
 TOOLS = ("gmail_get_message", "documents_get", "github_get_pr", "hris_get_employee", "ats_get_candidate", "crm_get_account", "test_tool")
@@ -34,14 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, t, snippet``: documents with a snippet before or after the text. The snippets are a literal, so no join is needed."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(K)).cast("int").alias("sid"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("sid", F.pmod("doc_id", F.lit(K)).cast("int"))
     of = lambda i: F.element_at(literal_array([s[i] for s in SNIPPETS]), F.col("sid") + 1)
     docs = docs.withColumns({"place": of(2), "snippet": of(3)})
     return docs.select("doc_id", F.when(F.col("place") == "P", F.concat("snippet", "text")).otherwise(F.concat("text", "snippet")).alias("t"), "snippet")
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("t"))
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("t"))
 
 
 def documents_as_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +174,7 @@ def match_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("fast_filter", " UNION ALL ".join(f"SELECT {_q(n)} AS source, CAST(count_if({_keywords(c)}) AS BIGINT) AS hits, count(*) AS texts FROM {n}" for n, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))))
 def fast_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [table(spark, sf_dir, n).agg(F.count_if(detect.has_keyword(F.col(c))).alias("hits"), F.count("*").alias("texts")).select(F.lit(n).alias("source"), "hits", "texts") for n, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
+    parts = [spread(table(spark, sf_dir, n).select(c)).agg(F.count_if(detect.has_keyword(F.col(c))).alias("hits"), F.count("*").alias("texts")).select(F.lit(n).alias("source"), "hits", "texts") for n, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -203,7 +204,7 @@ def structural_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("char_entropy", f"WITH d AS (SELECT doc_id, text AS t FROM documents), {_ENTROPIES} SELECT d.doc_id, round(coalesce(entropy, 0), 6) AS entropy FROM d LEFT JOIN e USING (doc_id)")
 def char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(detect.entropy(F.col("text")), 6).alias("entropy"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.round(detect.entropy(F.col("text")), 6).alias("entropy"))
 
 
 @_query("role_markers_contains", f"WITH {_TURNS} SELECT conv_id, turn, {_has_role('t')} AS has FROM d")
@@ -265,7 +266,7 @@ _ODD_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN {_q(v)}" for k, v in _O
 
 def odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.element_at(literal_array(list(_ODD.values())), F.pmod("doc_id", F.lit(6)).cast("int") + 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), sign).alias("t"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit(" "), sign).alias("t"))
 
 
 @_query("unicode_suspicious", f"WITH d AS (SELECT doc_id, text || ' ' || {_ODD_SQL} AS t FROM documents) SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _suspicious('t').items())}, {' OR '.join(_suspicious('t').values())} AS has_suspicious FROM d")
@@ -299,7 +300,7 @@ _PLAIN = "regexp_replace(text, '[A-Za-z0-9+/]{20,}', 'long', 'g')"
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.element_at(literal_array(list(_CODES.values())), F.pmod("doc_id", F.lit(5)).cast("int") + 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), code, F.lit(" end")).alias("t"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit(" "), code, F.lit(" end")).alias("t"))
 
 
 @_query("encoding_detect", f"""WITH d AS (SELECT doc_id, {_PLAIN} AS p, {_CODES_SQL} AS code FROM documents)
@@ -381,7 +382,7 @@ _EVENTS = """e AS (SELECT event_id, '{"user": {"id": ' || user_id || ', "tags":
 
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"user": {"id": '), F.col("user_id").cast("string"), F.lit(', "tags": ["a", "b"]}, "type": "'), "event_type", F.lit('", "props": '), "props", F.lit("}")).alias("payload"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")).select("event_id", F.concat(F.lit('{"user": {"id": '), F.col("user_id").cast("string"), F.lit(', "tags": ["a", "b"]}, "type": "'), "event_type", F.lit('", "props": '), "props", F.lit("}")).alias("payload"))
 
 
 @_query("leaves", f"""WITH {_EVENTS} SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY j.id) - 1 AS BIGINT) AS ord, replace(replace(replace(j.fullkey, '"', ''), '$.', ''), '$', '') AS path,
@@ -432,7 +433,7 @@ def block_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("conversation_turns_as_payloads")
 def conversation_turns_as_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("payload_id"), F.lit("chat").alias("tool_name"), F.to_json(F.struct(F.concat("role", F.lit(": "), "text").alias("message"))).alias("payload"))
+    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("payload_id"), F.lit("chat").alias("tool_name"), F.to_json(F.struct(F.concat("role", F.lit(": "), "text").alias("message"))).alias("payload"))
     return defend(rows, Config(boundary_salt="query", detector=WHOLE)).select("payload_id", "risk_level", F.array_join("fields_sanitized", "|").alias("fields_sanitized"), F.col("size_metrics.string_count").alias("strings"))
 
 

@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAYLOADS = T.StructType.fromDDL("payload_id long, tool_name string, payload string")
+PAYLOADS = T.StructType([T.StructField("payload_id", T.LongType()), T.StructField("tool_name", T.StringType()), T.StructField("payload", T.StringType())])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its files are too small to give each of them a split: a table of one row group is one task otherwise.
+
+    Tables with as many splits as cores, by the optimizer's estimate of their size, stay as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
 
 
 def read_payloads(spark: SparkSession, path: str, kind: str = "parquet", schema: T.StructType = PAYLOADS) -> DataFrame:
