@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from .config import Config, create_config
 from .functions import detect, sanitize
 from .operators import sfe, tier2
+from .operators.models import Shared, warm
 from .operators.payload import render
 from .plans.defense import defend, tier1
 
@@ -69,10 +71,21 @@ class Defense:
             return False
         return True
 
+    def warmup(self, spark: SparkSession) -> bool:
+        """Loads the scorer and the field filter in the workers ahead of the first payloads; whether each core's task could."""
+        wanted = [make for make in (self.scorer, self.predictor) if make is not None]
+        return all(warm(spark, make) == spark.sparkContext.defaultParallelism for make in wanted)
+
+    def is_loaded(self) -> bool:
+        """Whether this process holds the scorer's model; a scorer without a shared model has nothing to load."""
+        return self.scorer is not None and (self.scorer.is_loaded() if isinstance(self.scorer, Shared) else True)
+
+    def get_config(self) -> dict[str, Any]:
+        """All settings by name, nested, as plain values."""
+        return dataclasses.asdict(self.config)
+
     def with_pattern(self, pattern: detect.Pattern) -> Defense:
         """The same defence with one more pattern; the keyword filter stays on."""
-        import dataclasses
-
         return dataclasses.replace(self, config=dataclasses.replace(self.config, detector=self.config.detector.add_pattern(pattern)))
 
 

@@ -9,6 +9,7 @@ from . import catalog
 from .regex import extract, java, let, matches, positions
 
 _KIND = "array<struct<type:string,original:string,decoded:string,position:int,length:int,suspicious:boolean>>"
+# What encoded segments look like.
 _BASE64 = r"[A-Za-z0-9+/]{20,}={0,2}"
 _URL = r"(?:%[0-9A-Fa-f]{2}){3,}"
 _HEX = r"(?:\\x[0-9A-Fa-f]{2}){4,}"

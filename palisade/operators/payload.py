@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..config import DANGEROUS_KEYS, DATA_KEYS, MAX_WALK_DEPTH, PAGE_KEYS, Config
 from ..functions.regex import any_of, literal_array
+from .models import pieces
 
 
 def parse(payload: str | None) -> Any:
@@ -44,6 +45,11 @@ def is_paginated(value: Any) -> bool:
     return isinstance(value, dict) and any(k in value for k in DATA_KEYS) and any(k in value for k in PAGE_KEYS)
 
 
+def is_plain_object(value: Any) -> bool:
+    """Whether a JSON value is an object: neither a list nor a scalar."""
+    return isinstance(value, dict)
+
+
 def wrapped_data(value: dict) -> list | None:
     return next((value[k] for k in DATA_KEYS if isinstance(value.get(k), list)), None)
 
@@ -117,6 +123,7 @@ class Walk:
         cut = limits.skip_large_arrays and len(value) > limits.large_array_threshold
         out = [self.value(x, f"{path}[{i}]", depth + 1) for i, x in enumerate(value[:100] if cut else value)]
         if cut and len(value) > 100:
+            # Fixed value: the note's text.
             out.append(f"[{len(value) - 100} more items - sanitization skipped for performance]")
         return out
 
@@ -210,7 +217,7 @@ def walk(df: DataFrame, config: Config, payload: str = "payload", tool: str = "t
     kinds = (_FIELD_TYPE, pa.list_(pa.string()), _METRIC_TYPE, pa.list_(pa.string()), pa.bool_(), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [one(p, t) for p, t in zip(batch.column(at).to_pylist(), batch.column(of_tool).to_pylist())]
             new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*columns, *added])
@@ -233,7 +240,7 @@ def rebuild(df: DataFrame, config: Config, payload: str = "payload", tool: str =
         return done if isinstance(value, str) and value == text else render(done)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = zip(*(batch.column(i).to_pylist() for i in (at, of_tool, of_texts)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([one(*r) for r in rows], pa.string())], [*columns, out])
 
@@ -279,7 +286,7 @@ def leaves(df: DataFrame, payload: str = "payload", most: int = MAX_WALK_DEPTH)
     kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 found = [one(p) for p in part.column(at).to_pylist()]
@@ -321,6 +328,11 @@ def kind(payload: Column) -> Column:
     return F.when(payload.isNull() | (text == "null"), "null").when(F.startswith(text, F.lit("[")), "array").when(F.startswith(text, F.lit("{")), F.when(F.arrays_overlap(keys, literal_array(DATA_KEYS)), "wrapped").otherwise("object")).otherwise("primitive")
 
 
+def plain_object(payload: Column) -> Column:
+    """``is_plain_object`` of a JSON column; null has none."""
+    return F.coalesce(F.startswith(F.trim(payload), F.lit("{")) & F.json_object_keys(payload).isNotNull(), F.lit(False))
+
+
 def paginated(payload: Column) -> Column:
     keys = F.json_object_keys(payload)
     return F.coalesce(F.arrays_overlap(keys, literal_array(DATA_KEYS)) & F.arrays_overlap(keys, literal_array(PAGE_KEYS)), F.lit(False))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..config import DANGEROUS_KEYS, MAX_WALK_DEPTH
+from .models import Shared, pieces
 from .payload import parse, render, with_columns
 
 _GONE = object()
@@ -86,34 +87,36 @@ def filter_value(value: Any, predictor: Predictor | None, threshold: float = 0.5
 
 
 def sfe_filter(df: DataFrame, make_predictor: Callable[[], Predictor | None], threshold: float = 0.5, payload: str = "payload") -> DataFrame:
-    """Replaces the payload by the filtered one and adds ``fields_dropped`` and ``sfe_cut``.
+    """Replaces the payload by the filtered one and adds ``fields_dropped``, ``sfe_cut`` and ``sfe_failed``.
 
-    ``make_predictor`` runs once in each worker. A predictor that is absent or fails leaves the payload as it is.
+    ``make_predictor`` runs once a task; a ``Shared`` one loads once in a worker process. A predictor that is
+    absent or fails leaves the payload as it is, and ``sfe_failed`` tells of the failure.
     """
-    columns = [c for c in df.columns if c not in ("fields_dropped", "sfe_cut")]
+    columns = [c for c in df.columns if c not in ("fields_dropped", "sfe_cut", "sfe_failed")]
     df = df.select(*columns)
     at = columns.index(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = None
+        predictor, missing = None, False
         try:
             predictor = make_predictor()
         except Exception as e:  # without it nothing is dropped
+            missing = True
             logging.getLogger(__name__).warning("no field filter: %s", e)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for text in batch.column(at).to_pylist():
                 try:
                     value, dropped, cut = filter_value(parse(text), predictor, threshold)
-                    rows.append((render(value) if dropped else text, dropped, cut))
+                    rows.append((render(value) if dropped else text, dropped, cut, missing))
                 except Exception as e:
                     logging.getLogger(__name__).warning("the field filter failed: %s", e)
-                    rows.append((text, [], False))
+                    rows.append((text, [], False, True))
             new = list(batch.columns)
             new[at] = pa.array([r[0] for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*new, pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows])], [*columns, "fields_dropped", "sfe_cut"])
+            yield pa.RecordBatch.from_arrays([*new, pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows])], [*columns, "fields_dropped", "sfe_cut", "sfe_failed"])
 
-    return df.mapInArrow(run, with_columns(df, "fields_dropped array<string>, sfe_cut boolean"))
+    return df.mapInArrow(run, with_columns(df, "fields_dropped array<string>, sfe_cut boolean, sfe_failed boolean"))
 
 
 @dataclass(frozen=True)
@@ -130,3 +133,32 @@ class NamePredictor:
             hit = any(f" {path} ".startswith(f" {n.replace('_', ' ')} ") for n in self.names)
             out.append(DropDecision("drop", 1.0) if hit else DropDecision())
         return out
+
+
+# Fixed value: what a trained model's labels begin with.
+LABEL_PREFIX = "__label__"
+
+
+class LabelPredictor:
+    """A predictor around a trained text classifier: ``predict(texts, k=1)`` gives the labels and the probabilities of all texts at once."""
+
+    def __init__(self, model: Any):
+        self.model = model
+
+    def predict_batch(self, texts: list[str]) -> list[DropDecision]:
+        labels, probabilities = self.model.predict(texts, k=1)
+        pairs = zip(labels, probabilities)
+        return [DropDecision(own[0].removeprefix(LABEL_PREFIX), float(p[0])) if len(own) else DropDecision() for own, p in pairs]
+
+
+def trained_predictor(path: str, load: Callable[[str], Any] | None = None) -> Shared:
+    """Makes the predictor of a model file, once in each worker process. ``load`` reads the file; by default fasttext does, if it is there."""
+
+    def make() -> LabelPredictor:
+        if load is not None:
+            return LabelPredictor(load(path))
+        import fasttext
+
+        return LabelPredictor(fasttext.load_model(path))
+
+    return Shared(("fields", path), make)

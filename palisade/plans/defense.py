@@ -68,7 +68,8 @@ def defend(df: DataFrame, config: Config = Config(), payload: str = "payload", t
 
     Added: ``allowed, risk_level, sanitized, detections, fields_sanitized, patterns_by_field,
     methods_by_field, risky_field_names, dangerous_keys_removed, size_metrics, escalated, tier2_score,
-    tier2_effective_score, tier2_skip_reason, max_sentence, fields_dropped, truncated_at_depth``.
+    tier2_effective_score, tier2_skip_reason, max_sentence, fields_dropped, sfe_failed,
+    truncated_at_depth``.
     Without a scorer there is no tier 2, without a predictor no field filter. The boundary's id follows
     from the salt (keep it secret, and new for each run) and the payload's id.
     """
@@ -77,7 +78,7 @@ def defend(df: DataFrame, config: Config = Config(), payload: str = "payload", t
     if predictor is not None:
         df = sfe.sfe_filter(df, predictor, sfe_threshold, "_payload")
     else:
-        df = df.withColumns({"fields_dropped": F.array().cast(_NONE), "sfe_cut": F.lit(False)})
+        df = df.withColumns({"fields_dropped": F.array().cast(_NONE), "sfe_cut": F.lit(False), "sfe_failed": F.lit(False)})
     found = tier1(df, config, "_payload", tool, ident)
     if scorer is not None:
         found = tier2.score_payloads(found, config, scorer)
@@ -107,7 +108,7 @@ def defend(df: DataFrame, config: Config = Config(), payload: str = "payload", t
         "truncated_at_depth": F.when(F.col("sfe_cut") | (F.col("strings_cut") if scorer is not None else F.lit(False)), F.lit(True)),
     })
     out = P.rebuild(found.drop("judged"), config, "_payload", tool)
-    added = "allowed risk_level sanitized detections fields_sanitized patterns_by_field methods_by_field risky_field_names dangerous_keys_removed size_metrics escalated high_count medium_count pattern_count fields_total tier2_score tier2_effective_score tier2_skip_reason max_sentence fields_dropped truncated_at_depth".split()
+    added = "allowed risk_level sanitized detections fields_sanitized patterns_by_field methods_by_field risky_field_names dangerous_keys_removed size_metrics escalated high_count medium_count pattern_count fields_total tier2_score tier2_effective_score tier2_skip_reason max_sentence fields_dropped sfe_failed truncated_at_depth".split()
     return out.select(*(c for c in kept if c not in added), *added)
 
 
