@@ -17,9 +17,6 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, arrow_batches, cut, portions, text_key
 
-#: Stands in where no secret key is given; production must pass its own.
-DEFAULT_KEY = b"replace this key"
-
 # Titles by gender, and given names by gender and script that surrogates draw from.
 _TITLES = {"f": "Mrs Ms Miss Frau Señora Sra Madame Mme Mlle Госпожа", "m": "Mr Herr Señor Sr Monsieur M Господин", "x": "Dr Prof Professor"}
 _GIVEN = {
@@ -63,16 +60,25 @@ _OF_NUMBERS = ("ip", "ssn", "phone", "card")
 #: but for a run of 32 letters a-f without any digit: alone in a text it isn't taken for a secret.
 HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]|(?i:token|secret|passw|pwd|key|auth|bearer)|AKIA|gh[pousr]_|sk[-_]|xox|eyJ|[0-9][0-9a-f]{{16}}|[0-9a-f]{{16}}[0-9]|[0-9][0-9A-F]{{16}}|[0-9A-F]{{16}}[0-9]|[A-Z]{{2}}\p{{Nd}}{{2}}|(?:{_TITLE})\.? "
 
+#: Three, three and four digits with spaces are a phone only after a word that says so; other digits are no card without a valid check digit.
+_BARE_PHONE = re.compile(r"\d{3} \d{3} \d{4}")
+_CUE = re.compile(r"(?i)(?:phone|tel|mobile|cell|call|fax|dial|handy|móvil|тел)[^\n\d]{0,16}\Z")
+
 Entity = tuple[int, int, str, str]  # start, end, type, value
 
 
 def find(text: str) -> list[Entity]:
     """Entities in order, without overlaps. Type ``given.<gender>`` or ``family`` stands for one name of a
-    person; the family name of somebody introduced with a title is found again in the rest of the text."""
+    person; the family name of somebody introduced with a title is found again in the rest of the text, unless the text
+    also has it in lower case, as a common word."""
     spans: list[tuple[int, int, int, str, re.Match]] = []  # start, order of the kinds, end, kind, match
 
     def look(kind: str, start: int = 0, end: int | None = None) -> None:
         for m in _COMPILED[kind].finditer(text, start, len(text) if end is None else end):
+            if kind == "card" and not _luhn(re.sub(r"\D", "", m[0])):
+                continue
+            if kind == "phone" and _BARE_PHONE.fullmatch(m[0]) and not _CUE.search(text, max(0, m.start() - 32), m.start()):
+                continue
             spans.append((m.start(), list(_PATTERNS).index(kind), m.end(), kind, m))
 
     at, reached = text.find("@"), 0
@@ -110,6 +116,7 @@ def find(text: str) -> list[Entity]:
                     families.add(name[0])
         else:
             out.append((start, end, "secret" if kind == "hex" else kind, m[0]))
+    families = {f for f in families if f.lower() == f or not re.search(rf"(?<!\w){re.escape(f.lower())}(?!\w)", text)}
     if families:
         taken = [(a, b) for a, b, _, _ in out]
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(families, key=len, reverse=True)))})(?!\w)", text):
@@ -172,7 +179,7 @@ def _case(like: str, name: str) -> str:
 
 
 @functools.lru_cache(100_000)
-def surrogate(kind: str, value: str, key: bytes = DEFAULT_KEY, nonce: int = 0) -> str:
+def surrogate(kind: str, value: str, key: bytes, nonce: int = 0) -> str:
     """Another value of the same type and format; the same for equal ``value`` and ``key``. ``nonce`` gives further ones."""
     for step in range(64):
         out = _surrogate(kind, value, key, b"%b/%d/%d" % (kind.encode(), nonce, step))
@@ -266,7 +273,7 @@ def _render(kind: str, value: str, key: bytes, nonces: dict[tuple[str, str], int
     return _case(value, made) if kind == "family" else made.upper() if kind.startswith("given") and len(value) > 1 and value.isupper() else made
 
 
-def replace(text: str, key: bytes = DEFAULT_KEY, nonces: dict[tuple[str, str], int] | None = None) -> tuple[str, dict[str, int]]:
+def replace(text: str, key: bytes, nonces: dict[tuple[str, str], int] | None = None) -> tuple[str, dict[str, int]]:
     """The text with surrogates, and the number of entities by type."""
     parts, last, count = [], 0, {}
     for start, end, kind, value in find(text):
@@ -325,7 +332,7 @@ def clashes(found: DataFrame, key: bytes) -> DataFrame:
         state = judged.filter("not bad").drop("bad").unionByName(again(bad.select("kind", "value", (F.col("nonce") + 1).alias("nonce"))))
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every row with its text's personal data replaced by surrogates; adds ``n_entities`` and ``pii`` (number by type).
 
     Types: email, phone, card, iban, ssn, ip, ipv6, secret, and names after a title. Equal entities
@@ -334,7 +341,7 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_i
     moves clashing ones to another nonce. Phones keep their country, cards their checksum, emails their
     top-level domain, names their script, gender and case, and all keep separators and length classes.
     Null stays null; texts without entities stay as they are; repeated rows give equal rows; columns
-    named like the added ones are replaced.
+    named like the added ones are replaced. ``key`` is the secret that surrogates follow from: who has it can link them.
 
     Exceptions from the collision check are broadcast up to ``broadcast_rows``; beyond, each document's
     own ones are joined to it.

@@ -9,6 +9,11 @@ from . import decontaminate, html, langid, licenses, media, mixing, neardup, pii
 from .common import table
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret of the surrogates: the session's ``spark.palisade.pii.key``. The registered queries and the pipeline have one of their own for test tables, where it is unset."""
+    return spark.conf.get("spark.palisade.pii.key", "the registered queries' own key, no secret").encode()
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     took = mixing.assign_copies(table(spark, sf_dir, "documents"))
     return took.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -39,7 +44,7 @@ def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     return done.select("doc_id", "text", "n_entities", F.array_join(F.array_sort(F.transform(F.map_entries("pii"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("types"))
 
 

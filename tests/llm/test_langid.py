@@ -60,3 +60,51 @@ def test_edges(spark, docs, empty, clashing, rows):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
     out = langid.identify(clashing, model)
     assert out.count() == len(rows) and out.columns[-3:] == ["lang_pred", "score", "known"]
+
+
+def test_predictions_equal_naive_counts(labelled):
+    """Language, score and share of known n-grams against sets of n-grams, one text at a time, with the filter's own false positives."""
+    import numpy as np
+    import pyarrow as pa
+
+    df, rows = labelled
+    model = langid.train(df, per_language=100)
+    texts = [t for _, t, _ in rows if t][:120] + ["É!!ba", "ba  lo\nmi", "ß"]
+    names, scores, known = model.predict(pa.array(texts))
+    bits = model.cells.shape[1].bit_length() - 1
+
+    def has(value):
+        out = set(range(len(model.languages)))
+        for place in model._places(np.array([value], np.uint32), bits, model.hashes):
+            out &= {l for l in out if int(model.cells[l // 64][place[0]]) >> (l % 64) & 1}
+        return out
+
+    for t, name, score, share in zip(texts, names, scores, known):
+        data = bytearray(b" ")
+        for c in t.lower().encode():
+            c = c if c >= 128 or 97 <= c <= 122 else 32
+            if not (c == 32 and data[-1] == 32):
+                data.append(c)
+        data += b"" if data[-1] == 32 else b" "
+        grams = [int.from_bytes(data[i : i + k], "big") for k in langid.ORDERS for i in range(len(data) - k + 1)]
+        hits = np.zeros(len(model.languages))
+        for g in grams:
+            for l in has(g):
+                hits[l] += 1
+        true = np.clip((hits - len(grams) * model.false) / (1 - model.false), 0, None)
+        assert name == model.languages[int(true.argmax())]
+        assert abs(score - (true.max() / true.sum() if true.sum() else 0)) < 1e-9 and abs(share - min(1, true.max() / max(len(grams), 1))) < 1e-9
+
+
+def test_dirty_labels_are_an_error(spark):
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 20"):
+        langid.train(df, languages=20)
+
+
+def test_the_sample_is_the_smallest_hashes(spark, monkeypatch):
+    """The two-step choice of the sample's rows, and n-grams up to the cut-off, whatever the number of parts."""
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, "".join(rng.choice("abcdef ") for _ in range(60)), "xy"[i % 2]) for i in range(500)], "doc_id long, text string, lang string").repartition(4)
+    one, many = (langid.train(df, per_language=50, grams=100, salts=n) for n in (1, 64))
+    assert one.languages == many.languages and (one.cells == many.cells).all()

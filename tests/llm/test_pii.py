@@ -134,3 +134,46 @@ def test_emails_in_a_row():
         text = "".join(p + rng.choice([" ", ", ", "", "."]) for p in parts)
         expect = [(m.start(), m.end(), "email", m[0]) for m in pii._COMPILED["email"].finditer(text)]
         assert [e for e in pii.find(text) if e[2] == "email"] == expect
+
+
+def test_numbers_that_are_none_of_these():
+    """Digits without a check digit, time stamps, and tables of numbers stay; cues make a phone."""
+    for t in ("1700000000000 ms", "id 9777946427004852", "rows 123 456 7890 cells", "4111 1111 1111 1112"):
+        assert pii.find(t) == [], t
+    assert [e[2:] for e in pii.find("phone: 123 456 7890")] == [("phone", "123 456 7890")]
+    assert [e[2] for e in pii.find("Tel. no. 123 456 7890, card 4111111111111111")] == ["phone", "card"]
+
+
+def test_common_words_are_no_names():
+    assert [e[3] for e in pii.find("Prof Green drank green tea. Green tea is good, Prof Green said.")] == ["Green", "Green"]
+    assert [e[3] for e in pii.find("Prof Weber came. Weber went.")] == ["Weber", "Weber"]
+
+
+def test_a_corpus_keeps_people_apart(spark):
+    """Over many documents: equal entities have one surrogate, distinct ones distinct ones, and names keep gender, script and case."""
+    rng = random.Random(6)
+    families = {"latin": [a + b for a in ("Ham", "Wil", "Tor", "Ner", "Gal") for b in ("mond", "ster", "vik", "ano", "eau")], "cyrillic": ["Петров", "Соколов", "Лебедев", "Козлов"], "greek": ["Παππάς", "Νικολάου"]}
+    titles = {("f", "latin"): "Mrs", ("m", "latin"): "Mr", ("f", "cyrillic"): "Госпожа", ("m", "cyrillic"): "Господин", ("m", "greek"): "Mr", ("f", "greek"): "Mrs"}
+    given = {"latin": ("Alice", "Bob", "Chloé", "Dmitri"), "cyrillic": ("Глеб", "Жанна"), "greek": ("Δήμος", "Ζωή")}
+    rows, said = [], []
+    for i in range(400):
+        gender, script = rng.choice(list(titles))
+        person = (gender, script, rng.choice(given[script]), rng.choice(families[script]))
+        mail, phone = f"user{rng.randrange(60)}@h{rng.randrange(9)}.example.org", f"+49 30 {rng.randrange(1000, 1060)} {rng.randrange(2000, 2004)}"
+        said.append((person, mail, phone))
+        rows.append((i, f"{titles[gender, script]} {person[2]} {person[3].upper() if i % 9 == 0 else person[3]} | {mail} | {phone}"))
+    out = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), KEY).collect()}
+    maps = {k: {} for k in ("given", "family", "mail", "phone")}
+    for i, ((gender, script, first, last), mail, phone) in enumerate(said):
+        names, new_mail, new_phone = out[i].split(" | ")
+        title, new_first, new_last = names.split(" ")
+        assert title == titles[gender, script] and {pii._script(new_first), pii._script(new_last)} == {script}
+        assert new_first.split("-")[0] in pii._GIVEN[gender, script].split() and new_last.isupper() == (i % 9 == 0)
+        assert new_phone.startswith("+49 ") and re.sub(r"\d", "0", new_phone) == re.sub(r"\d", "0", phone) and new_mail.endswith(".org")
+        for kind, old, new in (("given", (gender, first), new_first), ("family", last, new_last.casefold()), ("mail", mail, new_mail), ("phone", phone, new_phone)):
+            assert maps[kind].setdefault(old, new) == new != old
+    for kind, found in maps.items():
+        assert len(set(found.values())) == len(found) or kind == "given"
+    for gender in "fm":  # a given name is an entity by gender
+        own = [v for (g, _), v in maps["given"].items() if g == gender]
+        assert len(set(own)) == len(own)

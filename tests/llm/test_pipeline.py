@@ -29,3 +29,28 @@ def test_language_keeps_clean_text(spark, sf_dir):
 
 def test_names():
     assert [f"op{n}_" in " ".join(queries.QUERIES) for n in range(1, 11)] == [True] * 10
+
+
+def test_stages_keep_clashing_columns(spark, sf_dir, clashing):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, sf_dir)
+        assert out.columns == clashing.columns, name
+        assert out.filter("root = 'x' and key = 'x' and lang_pred = 'x' and n_entities = 'x'").count() == out.count(), name
+    last = corpus_pipeline.STAGES[-1][1](spark, clashing, sf_dir)
+    assert dict(last.dtypes)["copies"] == "int" and last.filter("root = 'x'").count() == last.count()
+
+
+def test_stages_equal_brute_force(spark, sf_dir, docs, rows):
+    """Near duplicates and benchmark passages, the stages that decide by exact rules, on the whole fixture."""
+    from test_decontaminate import brute as windows
+    from test_neardup import brute as groups
+    from test_neardup import shingles
+
+    keep = {c for _, n, c in groups(rows) if n}
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    assert {r.doc_id for r in out if shingles(r.text)} == keep
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    planted = [(i, f"before {t} after " + "word " * (5000 if i % 2 else 3)) for i, t in items[:20]] + [(100 + r[0], r[1]) for r in rows if r[0] is not None]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in planted], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = sorted(r[0] for r in windows(planted, items) if r[2] == 0)
+    assert sorted(r.doc_id for r in corpus_pipeline.benchmark_passages(spark, df, sf_dir).collect()) == clean

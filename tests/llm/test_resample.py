@@ -72,7 +72,7 @@ def test_edges(docs, empty, clashing, rows, spark):
     got = resample.resample(docs, labels).collect()
     assert len(got) == len(rows) and all(r.log_weight == 0 for r in got)
     assert resample.resample(empty, labels).count() == 0
-    assert resample.resample(clashing.drop("kept"), labels).filter(F.col("kept")).count() >= math.ceil(0.75 * len(rows))
+    assert resample.resample(clashing, labels).filter(F.col("kept")).count() >= math.ceil(0.75 * len(rows))
 
 
 def test_long_texts_have_the_whole_log_ratio(spark):
@@ -86,3 +86,27 @@ def test_long_texts_have_the_whole_log_ratio(spark):
     expect = sum(map(ratio, grams(long)))
     got = {r.doc_id: r.log_weight for r in resample.weigh(docs, labels).collect()}
     assert abs(got[1] - expect) < 1e-9 * abs(expect)
+
+
+def test_selection_is_gumbel_top_k(spark):
+    """Log weights by plain counting, noise from the draws, and the largest keys by a sort."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh" if i % 3 else "ghijkl") for _ in range(rng.randint(1, 40)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    good = [i for i, _ in rows if i % 3 and i % 2]
+    labels = spark.createDataFrame([(i, int(i in good), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        target.update(grams(t) if i in good else ())
+    n, a, b = resample.BUCKETS, sum(target.values()), sum(raw.values())
+    ratio = {g: math.log((target[g] + 1) / (a + n)) - math.log((raw[g] + 1) / (b + n)) for g in raw}
+    draws = {r.doc_id: r.d for r in docs.select("doc_id", F.xxhash64(F.lit(24), "doc_id", "text").alias("d")).collect()}
+    keys = {}
+    for i, t in rows:
+        uniform = min(max(((draws[i] % 2**64) >> 11) / 2**53, 2.0**-54), 1 - 2.0**-53)
+        keys[i] = sum(ratio[g] for g in grams(t)) - math.log(-math.log(uniform))
+    expect = set(sorted(keys, key=keys.get, reverse=True)[: math.ceil(0.6 * len(rows))])
+    got = resample.resample(docs, labels, share=0.6).collect()
+    assert all(abs(r.gumbel_key - keys[r.doc_id]) < 1e-6 for r in got)
+    assert {r.doc_id for r in got if r.kept} == expect
