@@ -5,20 +5,31 @@ Each stage takes all rows that the one before kept, written as Parquet and read
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import decontaminate, langid, mixing, neardup, pii
 from palisade.llm.common import cut, table
+from palisade.llm.queries import pii_key
 
 #: Texts of whose n-grams their best language has less than this share are in no known language.
 LEAST_KNOWN = 0.3
 
 
+def _beside(docs: DataFrame, added: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``step`` leaves, without the columns it adds; columns of ``docs`` with such names keep their values."""
+    own = {c: f"{c}__own" for c in docs.columns if c in added}
+    left = step(docs.withColumnsRenamed(own)).drop(*added)
+    return left.withColumnsRenamed({new: c for c, new in own.items()}).select(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, null ones, and those in no learned language."""
-    named = langid.identify(docs, langid.train(docs))
-    return named.filter((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN)).select(*docs.columns)
+    model = langid.train(docs)
+    known = lambda df: langid.identify(df, model).filter((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN))
+    return _beside(docs, ("lang_pred", "score", "known"), known)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +44,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates; ``n_chars`` follows the text."""
-    done = pii.pseudonymize(docs)
     size = F.when(F.col("n_entities") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", size).select(*docs.columns)
+    return _beside(docs, ("n_entities", "pii"), lambda df: pii.pseudonymize(df, pii_key(spark)).withColumn("n_chars", size))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
