@@ -116,17 +116,15 @@ class LanguageFilter:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in portions(batches, "text"):
+    for batch in portions(batches, "text", 1 << 20):
         at, data = _grams(batch.column(0))
         langs = batch.column(1).dictionary_encode()
         for code, lang in enumerate(langs.dictionary.to_pylist()):
             rows = np.flatnonzero(langs.indices.to_numpy() == code)
-            parts = []
             for order, values in _values(data):
-                values = values.astype(np.int64) | (order << 32)
-                parts += [values[at[r] : max(at[r], min(at[r + 1] + 2 - order, len(values)))] for r in rows]
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(values), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
+                own = np.concatenate([values[at[r] : max(at[r], min(at[r + 1] + 2 - order, len(values)))] for r in rows])
+                found, counts = np.unique(own, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.astype(np.int64) | (order << 32)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, grams: int = 30_000, share: float = 0.2, seed: int = 5, languages: int = 1000, salts: int = 64) -> LanguageFilter:

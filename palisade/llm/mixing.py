@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, in_order, small
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 #: Words are runs of what is neither a space nor one of the five control characters from tab to return.
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents in a first group, and groups that meet in one node of the tree.
