@@ -127,9 +127,9 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.astype(np.int64) | (order << 32)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, grams: int = 30_000, share: float = 0.2, seed: int = 5, languages: int = 1000, salts: int = 64) -> LanguageFilter:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, grams: int = 30_000, share: float = 0.2, seed: int = 5, languages: int = 1000) -> LanguageFilter:
     """Fit the filter on a bounded sample: of each language the ``per_language`` labelled rows, not held
-    out, with the smallest keyed hash of the id.
+    out, with the smallest keyed hash of the id, one row for each id.
 
     A language has an n-gram if it is among its ``grams`` most frequent ones (n-grams as frequent as the
     first that is not are left out, too) and at least ``share`` times as frequent in it as in the language where it is
@@ -137,8 +137,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     the first. Without labelled text the filter has no language, and every text is ``und``. More than
     ``languages`` of them are an error: the sample and the filter are sized by them.
 
-    No language is sorted in one task: the sample's smallest hashes are found in ``salts`` parts first,
-    the n-grams' cut-off from the numbers of n-grams by frequency.
+    No language is sorted in one task: only hashes below a cut-off that follows from the language's size are,
+    and the n-grams' cut-off comes from the numbers of n-grams by frequency.
     """
     arrow_batches(docs.sparkSession)
     ok = F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)
@@ -146,11 +146,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     names = labelled.select("lang").distinct().limit(languages + 1).collect()
     if len(names) > languages:
         raise ValueError(f"{lang_col} has more than {languages} values")
-    keyed = labelled.select("lang", "id", F.xxhash64(F.lit(seed), "id").alias("h"))
-    first = Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy("h", "id")
-    chosen = keyed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language)
-    chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("rank") <= per_language)
-    sample = labelled.join(F.broadcast(chosen.select("lang", "id").distinct()), ["lang", "id"], "left_semi")
+    span = 2**31
+    keyed = labelled.select("lang", "id", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(span)).alias("h")).distinct()
+    # A quarter more than wanted by their hashes, and a hundred: the rows that can be among the smallest, whatever a language's size.
+    share_of = keyed.groupBy("lang").agg((F.lit(span * (1.25 * per_language + 100)) / F.count("*")).alias("below")).withColumnRenamed("lang", "l")
+    few = keyed.join(F.broadcast(share_of), F.col("lang") == F.col("l")).filter("h < below")
+    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(F.col("rank") <= per_language)
+    sample = labelled.join(F.broadcast(chosen.select("lang", "id")), ["lang", "id"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text"))
     counts = cut(sample.select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     levels = counts.groupBy("lang", "n").agg(F.count("*").alias("grams")).withColumn("sum", F.sum("grams").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
     least = levels.filter(F.col("sum") <= grams).groupBy("lang").agg(F.min("n").alias("least")).withColumnRenamed("lang", "l")

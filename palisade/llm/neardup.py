@@ -290,8 +290,8 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """``band, node, root`` of the bands of three classes or more (a band of two is its star) that hold several components."""
     rows = shared.filter("size > 2").select("band", "node")
     rows = rows.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    return rows.join(mixed, "band")
+    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(F.col("band").alias("mixed"))
+    return rows.join(small(cut(mixed)), F.col("band") == F.col("mixed"), "left_semi")
 
 
 def _placed(docs: DataFrame, shared: DataFrame, roots: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:

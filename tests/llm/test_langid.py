@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from palisade.llm import langid
 
@@ -102,9 +103,15 @@ def test_dirty_labels_are_an_error(spark):
         langid.train(df, languages=20)
 
 
-def test_the_sample_is_the_smallest_hashes(spark, monkeypatch):
-    """The two-step choice of the sample's rows, and n-grams up to the cut-off, whatever the number of parts."""
+def test_the_sample_is_bounded(spark):
+    """The rows with the smallest hashes, one for each id, however they are dealt and however often an id is repeated."""
     rng = random.Random(2)
-    df = spark.createDataFrame([(i, "".join(rng.choice("abcdef ") for _ in range(60)), "xy"[i % 2]) for i in range(500)], "doc_id long, text string, lang string").repartition(4)
-    one, many = (langid.train(df, per_language=50, grams=100, salts=n) for n in (1, 64))
-    assert one.languages == many.languages and (one.cells == many.cells).all()
+    rows = [(i, "".join(rng.choice("abcdef ") for _ in range(60)), "xy"[i % 2]) for i in range(4000)]
+    df = spark.createDataFrame(rows + [rows[7]] * 3000, "doc_id long, text string, lang string")
+    one, two = (langid.train(d, per_language=50, grams=100) for d in (df.repartition(4), df.coalesce(1)))
+    assert one.languages == two.languages and (one.cells == two.cells).all()
+    few = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    keys = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2**31)).alias("h")).distinct().collect()}
+    sample = [r for lang in "xy" for r in sorted((r for r in few if r[2] == lang), key=lambda r: keys[r[0]])[:50]]
+    three = langid.train(spark.createDataFrame(sample, "doc_id long, text string, lang string"), grams=100)
+    assert (three.cells == one.cells).all()
