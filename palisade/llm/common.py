@@ -32,11 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
-    The table goes when the driver exits.
+    The table goes when the driver exits. It has no marker of success: a write that fails raises, and none
+    reads a table before its write has ended. (Hadoop's local file system starts processes for each file it makes.)
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palisade/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
