@@ -55,10 +55,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Bound what goes to a Python worker at once, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def octets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches, cut, octets, portions
 
+#: Bytes that go to a Python worker at once, and bytes of text that it works on at once.
+_SENT, _PORTION = 2 << 20, 1 << 20
 #: Byte n-grams that are looked up.
 ORDERS = (2, 3, 4)
 _SPACE = 32
@@ -116,7 +118,7 @@ class LanguageFilter:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in portions(batches, "text", 1 << 20):
+    for batch in portions(batches, "text", _PORTION):
         at, data = _grams(batch.column(0))
         langs = batch.column(1).dictionary_encode()
         for code, lang in enumerate(langs.dictionary.to_pylist()):
@@ -140,7 +142,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     No language is sorted in one task: only hashes below a cut-off that follows from the language's size are,
     and the n-grams' cut-off comes from the numbers of n-grams by frequency.
     """
-    arrow_batches(docs.sparkSession)
+    arrow_batches(docs.sparkSession, size=_SENT)
     ok = F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)
     labelled = docs.filter(ok).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
     names = labelled.select("lang").distinct().limit(languages + 1).collect()
@@ -175,14 +177,17 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
     training. Whole texts are read. Columns of those names are replaced.
     """
     spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(spark, size=_SENT)
     shared = spark.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "known")]
+    # A string column among those kept goes to Python once and serves both ends.
+    kept = text_col in keep and dict(docs.dtypes)[text_col] == "string"
+    sent, name = (docs.select(*keep), text_col) if kept else (docs.select(*keep, F.col(text_col).alias("_text")), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in portions(batches, "_text", 1 << 20):
-            texts = batch.column(batch.num_columns - 1)
+        for batch in portions(batches, name, _PORTION):
+            texts = batch.column(batch.schema.get_field_index(name))
             letters = pc.match_substring_regex(texts, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
             if model.languages:
                 names, score, known = model.predict(texts)
@@ -190,7 +195,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text_col: str = "text") ->
                 names, score, known, letters = [], np.zeros(len(letters)), np.zeros(len(letters)), np.zeros(len(letters), bool)
             names = [name if ok else "und" for name, ok in zip(names, letters)] if names else ["und"] * len(letters)
             new = [pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.where(letters, known, 0.0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*keep, "lang_pred", "score", "known"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *new], [*keep, "lang_pred", "score", "known"])
 
     schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "known": F.lit(0.0)}).schema
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)

@@ -115,3 +115,18 @@ def test_the_sample_is_bounded(spark):
     sample = [r for lang in "xy" for r in sorted((r for r in few if r[2] == lang), key=lambda r: keys[r[0]])[:50]]
     three = langid.train(spark.createDataFrame(sample, "doc_id long, text string, lang string"), grams=100)
     assert (three.cells == one.cells).all()
+
+
+def test_text_goes_to_python_once(spark, labelled):
+    """Workers and Arrow buffers hold each text once, in small batches; the result is that of a text sent beside the kept columns."""
+    df, rows = labelled
+    model = langid.train(df, per_language=100)
+    out = langid.identify(df, model)
+    sent = out._jdf.queryExecution().analyzed().children().head().output()
+    assert [sent.apply(i).name() for i in range(sent.length())] == df.columns
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+    beside = langid.identify(df.withColumnRenamed("text", "known"), model, "known")
+    assert beside.columns == ["doc_id", "lang", "lang_pred", "score", "known"]
+    key = lambda r: (str(r.doc_id), r.lang_pred, r.score, r.known)
+    assert sorted(map(key, out.collect())) == sorted(map(key, beside.collect()))
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted((str(i), t or "") for i, t, _ in rows)
