@@ -8,7 +8,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: What goes to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 _LOADED: dict[Hashable, Any] = {}
 _LOCKS: dict[Hashable, threading.Lock] = {}
@@ -53,6 +56,21 @@ def warm(spark: SparkSession, make: Callable[[], Any]) -> int:
     return spark.range(0, cores, 1, cores).mapInArrow(run, "ok boolean").filter("ok").count()
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``; its session sends Python workers Arrow batches of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at most, or one row.
+
+    Spark's own bounds are 10,000 rows and 64 MB, and a worker holds a batch, its Python objects and the results at
+    once: with these, its memory grows with the rows of its task up to there. Lower settings stay.
+    """
+    spark = df.sparkSession
+    size_of = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key, most, of in (("maxRecordsPerBatch", BATCH_ROWS, int), ("maxBytesPerBatch", BATCH_BYTES, size_of)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < of(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+    return df
+
+
 def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, halved until each has at most ``most`` bytes, or one row."""
     for batch in batches:

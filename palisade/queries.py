@@ -16,6 +16,7 @@ from .functions.regex import literal_array, positions
 from .functions.sanitize import sanitize, suggest_risk
 from .operators import payload as P
 from .operators import tier2
+from .operators.models import bounded
 from .operators.sfe import NamePredictor, sfe_filter
 from .plans.defense import defend, tier1
 from .snippets import SNIPPETS
@@ -35,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, t, snippet``: documents with a snippet before or after the text. The snippets are a literal, so no join is needed."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("sid", F.pmod("doc_id", F.lit(K)).cast("int"))
+    docs = bounded(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("sid", F.pmod("doc_id", F.lit(K)).cast("int"))
     of = lambda i: F.element_at(literal_array([s[i] for s in SNIPPETS]), F.col("sid") + 1)
     docs = docs.withColumns({"place": of(2), "snippet": of(3)})
     return docs.select("doc_id", F.when(F.col("place") == "P", F.concat("snippet", "text")).otherwise(F.concat("text", "snippet")).alias("t"), "snippet")
@@ -266,7 +267,7 @@ _ODD_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN {_q(v)}" for k, v in _O
 
 def odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.element_at(literal_array(list(_ODD.values())), F.pmod("doc_id", F.lit(6)).cast("int") + 1)
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.lit(" "), sign).alias("t"))
+    return bounded(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", F.concat("text", F.lit(" "), sign).alias("t"))
 
 
 @_query("unicode_suspicious", f"WITH d AS (SELECT doc_id, text || ' ' || {_ODD_SQL} AS t FROM documents) SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _suspicious('t').items())}, {' OR '.join(_suspicious('t').values())} AS has_suspicious FROM d")
