@@ -71,7 +71,7 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, halved until each has at most ``most`` bytes, or one row."""
     for batch in batches:
         todo = [batch]

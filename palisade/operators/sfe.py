@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..config import DANGEROUS_KEYS, MAX_WALK_DEPTH
-from .models import Shared, pieces
+from .models import Shared, bounded, pieces
 from .payload import parse, render, with_columns
 
 _GONE = object()
@@ -93,7 +93,7 @@ def sfe_filter(df: DataFrame, make_predictor: Callable[[], Predictor | None], th
     absent or fails leaves the payload as it is, and ``sfe_failed`` tells of the failure.
     """
     columns = [c for c in df.columns if c not in ("fields_dropped", "sfe_cut", "sfe_failed")]
-    df = df.select(*columns)
+    df = bounded(df.select(*columns))
     at = columns.index(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade import queries
-from palisade.operators import models
+from palisade.config import Config
+from palisade.operators import models, sfe, tier2
+from palisade.operators import payload as P
 
 SETTINGS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
@@ -57,3 +59,44 @@ def test_lower_settings_stay(spark):
         spark.conf.set(k, "77")
     models.bounded(spark.range(1))
     assert [spark.conf.get(k).rstrip("b") for k in SETTINGS] == ["77", "77"]
+
+
+class HeldScorer:
+    """Scores a text by the bytes of all texts that were counted since the scores before: what a worker holds of one batch."""
+
+    max_length = 256
+
+    def __init__(self):
+        self.held, self.scored = 0, False
+
+    def count_tokens(self, text):
+        if self.scored:
+            self.held, self.scored = 0, False
+        self.held += len(text)
+        return 2
+
+    def score(self, texts):
+        self.scored = True
+        return [float(self.held)] * len(texts)
+
+
+def payloads(spark, wide):
+    docs = spark.read.parquet(f"{wide}/documents.parquet").coalesce(1)
+    return docs.select(F.col("doc_id").alias("payload_id"), F.lit("test_tool").alias("tool_name"), F.to_json(F.struct(F.col("text").alias("name"))).alias("payload"))
+
+
+def test_verdict(spark, wide):
+    queries.QUERIES["verdict"](spark, wide)
+    assert_bounded(payloads(spark, wide))
+
+
+@pytest.mark.parametrize("step", [lambda df: P.walk(df, Config()), lambda df: P.rebuild(df.withColumn("texts", F.array("payload")), Config()), P.leaves, lambda df: sfe.sfe_filter(df, sfe.NamePredictor)])
+def test_steps_over_payloads(spark, wide, step):
+    """Each step by itself, as callers of the operators use it."""
+    step(payloads(spark, wide))
+    assert_bounded(payloads(spark, wide))
+
+
+def test_texts_that_a_scorer_holds(spark, wide):
+    found = tier2.score_payloads(P.walk(payloads(spark, wide), Config(tier2=queries.WHOLE2)), Config(tier2=queries.WHOLE2), HeldScorer)
+    assert found.agg(F.count("tier2.score"), F.max("tier2.score") <= models.BATCH_BYTES // 2).first() == (1500, True)
