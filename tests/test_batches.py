@@ -85,8 +85,9 @@ def payloads(spark, wide):
     return docs.select(F.col("doc_id").alias("payload_id"), F.lit("test_tool").alias("tool_name"), F.to_json(F.struct(F.col("text").alias("name"))).alias("payload"))
 
 
-def test_verdict(spark, wide):
-    queries.QUERIES["verdict"](spark, wide)
+@pytest.mark.parametrize("name", ["verdict", "wrapped_payloads"])
+def test_queries_over_payloads(spark, wide, name):
+    queries.QUERIES[name](spark, wide)
     assert_bounded(payloads(spark, wide))
 
 
