@@ -101,3 +101,12 @@ def test_steps_over_payloads(spark, wide, step):
 def test_texts_that_a_scorer_holds(spark, wide):
     found = tier2.score_payloads(P.walk(payloads(spark, wide), Config(tier2=queries.WHOLE2)), Config(tier2=queries.WHOLE2), HeldScorer)
     assert found.agg(F.count("tier2.score"), F.max("tier2.score") <= models.BATCH_BYTES // 2).first() == (1500, True)
+
+
+@pytest.mark.parametrize("by", ["chunks", "whole", "sentence"])
+def test_classify(spark, wide, by):
+    docs = spark.read.parquet(f"{wide}/documents.parquet").coalesce(1)
+    done = tier2.classify(docs, HeldScorer, "text", by, queries.WHOLE2)
+    assert_bounded(docs)
+    if by == "chunks":
+        assert done.agg(F.count("tier2.score"), F.max("tier2.score") <= models.BATCH_BYTES).first() == (1500, True)
